@@ -5,6 +5,7 @@ import importlib
 
 #: query -> (module, function)
 _QUERIES = {
+    "op2_decontaminate": "decontaminate",
     "op8_bpe": "bpe",
 }
 
