@@ -6,7 +6,9 @@ import importlib
 #: query -> (module, function)
 _QUERIES = {
     "op2_decontaminate": "decontaminate",
+    "op3_language_id": "language_id",
     "op8_bpe": "bpe",
+    "op10_secrets": "secrets",
 }
 
 
