@@ -5,6 +5,7 @@ import importlib
 
 #: query -> (module, function)
 _QUERIES = {
+    "op1_toxicity": "toxicity",
     "op2_decontaminate": "decontaminate",
     "op3_language_id": "language_id",
     "op8_bpe": "bpe",
