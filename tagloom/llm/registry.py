@@ -8,8 +8,10 @@ _QUERIES = {
     "op1_toxicity": "toxicity",
     "op2_decontaminate": "decontaminate",
     "op3_language_id": "language_id",
+    "op5_simhash": "simhash",
     "op6_matroska": "matroska",
     "op8_bpe": "bpe",
+    "op9_warc": "warc",
     "op10_secrets": "secrets",
 }
 
