@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_toxicity": "toxicity",
     "op2_decontaminate": "decontaminate",
     "op3_language_id": "language_id",
+    "op4_pii": "pii",
     "op5_simhash": "simhash",
     "op6_matroska": "matroska",
     "op8_bpe": "bpe",
