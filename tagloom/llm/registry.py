@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_pii": "pii",
     "op5_simhash": "simhash",
     "op6_matroska": "matroska",
+    "op7_exact_dedup": "exact_dedup",
     "op8_bpe": "bpe",
     "op9_warc": "warc",
     "op10_secrets": "secrets",
