@@ -1 +1 @@
-
+"""Readers and writers of corpus formats as DataFrame transforms."""
