@@ -2,7 +2,7 @@
 import importlib
 
 #: Modules of queries; each registers its own.
-MODULES = ("q_text", "q_lexicon", "q_eval")
+MODULES = ("q_text", "q_lexicon", "q_eval", "q_io")
 
 
 def load():

@@ -1,0 +1,191 @@
+"""TEITOK XML in and out: a file is a row; nested markup is walked in Arrow batches."""
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import col
+
+TOKENS = (
+    "file string, doc_id string, sent_ord int, sent_id string, tok_ord int, tokid string, form string, lemma string, upos string, "
+    "xpos string, feats string, head int, deprel string, reg string, expan string, space_after boolean, entity string, n_dtok int"
+)
+#: The attributes that may hold a field, in order.
+FALLBACKS = {"xpos": ("xpos", "msd", "pos"), "reg": ("reg", "nform"), "expan": ("expan", "fform"), "lemma": ("lemma",)}
+
+
+def attr_fallback(*columns):
+    """The first value that is neither empty nor ``--``."""
+    return F.coalesce(*[F.nullif(F.nullif(col(c), F.lit("")), F.lit("--")) for c in columns])
+
+
+def _first(e, names):
+    return next((v for n in names if (v := e.get(n)) not in (None, "", "--")), None)
+
+
+def parse(file: str, xml: str, fallbacks=FALLBACKS) -> list[tuple]:
+    """Token rows of one document; broken XML has none; ``form="--"`` drops a token."""
+    import xml.etree.ElementTree as ET
+
+    try:
+        root = ET.fromstring(xml)
+    except ET.ParseError:
+        return []
+    text = root if root.tag == "text" else root.find(".//text")
+    doc_id = (text.get("id") if text is not None else None) or file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    rows: list[list] = []
+    seen: dict[str, int] = {}
+    state = {"sent": -1, "tok": 0, "sid": None}
+
+    def spaced(blank: bool):
+        if rows and rows[-1][15] is None and rows[-1][2] == state["sent"]:
+            rows[-1][15] = blank
+
+    def walk(e, entity):
+        if e.tag == "s":
+            state.update(sent=state["sent"] + 1, tok=0, sid=e.get("id") or e.get("sent_id"))
+        elif e.tag == "name":
+            entity = e.get("type") or "name"
+        elif e.tag == "tok":
+            if state["sent"] < 0:
+                state["sent"] = 0
+            form = e.get("form") or "".join(t for t in e.itertext()).strip()
+            if form != "--":
+                i = e.get("id")
+                if i:  # the n-th of a repeated id gets a suffix
+                    seen[i] = seen.get(i, 0) + 1
+                    i = i if seen[i] == 1 else f"{i}-{seen[i]}"
+                head = e.get("head") or "0"
+                rows.append(
+                    [file, doc_id, state["sent"], state["sid"], state["tok"], i, form, _first(e, fallbacks["lemma"]), _first(e, ("upos",)), _first(e, fallbacks["xpos"]),
+                     _first(e, ("feats",)), int(head) if head.isdigit() else 0, _first(e, ("deprel",)), _first(e, fallbacks["reg"]), _first(e, fallbacks["expan"]), None, entity, len(e.findall("dtok"))]
+                )
+                state["tok"] += 1
+            return
+        for c in e:
+            if c.tag == "tok":
+                spaced(False)
+            walk(c, entity)
+            if c.tail and (c.tail[:1].isspace() or c.tail.strip()):
+                spaced(c.tail[:1].isspace())
+
+    walk(root, None)
+    last: dict[int, int] = {r[2]: k for k, r in enumerate(rows)}
+    for k in last.values():
+        rows[k][15] = None
+    return [tuple(r) for r in rows]
+
+
+def read_teitok(files: DataFrame, fallbacks=FALLBACKS) -> DataFrame:
+    """Tokens of ``file, value`` rows, in the normalised model."""
+    names = [f.strip().split()[0] for f in TOKENS.split(",")]
+
+    def run(frames):
+        for f in frames:
+            rows = [r for file, xml in zip(f["file"], f["value"]) for r in parse(file, xml or "", fallbacks)]
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({"space_after": "boolean"})
+
+    return files.select("file", "value").mapInPandas(run, TOKENS)
+
+
+def read_teitok_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(path)
+    return read_teitok(files.select(F.col("_metadata.file_path").alias("file"), "value"), **options)
+
+
+def xml_escape(c):
+    out = F.replace(F.replace(F.replace(col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(out, F.lit('"'), F.lit("&quot;"))
+
+
+def write_teitok(tokens: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, value: a TEI document of each; ``names`` renames attributes.
+
+    Null, empty and ``_`` values are left out, but for lemma.
+    """
+    names = names or {}
+    attr = lambda n, c, keep=False: F.when(
+        c.isNotNull() & (c != "") & (F.lit(keep) | (c != "_")), F.concat(F.lit(f' {names.get(n, n)}="'), xml_escape(c), F.lit('"'))
+    ).otherwise("")
+    place = F.concat_ws("-", F.lit("w"), (F.col("sent_ord") + 1).cast("string"), (F.col("tok_ord") + 1).cast("string"))
+    tok = F.concat(
+        F.lit("<tok"), attr("id", place), attr("lemma", F.col("lemma"), True), attr("upos", F.col("tag")), attr("xpos", F.col("xpos")), attr("feats", F.col("feats")),
+        attr("head", F.col("head").cast("string")), attr("deprel", F.col("deprel")), attr("reg", F.col("reg")), F.lit(">"), xml_escape("form"), F.lit("</tok>"),
+        F.when(F.col("space_after"), " ").otherwise(""),
+    )
+    s = tokens.groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", tok.alias("x")))).alias("ts"))
+    sent = F.concat(F.lit('<s id="s-'), (F.col("sent_ord") + 1).cast("string"), F.lit('">'), F.array_join(F.transform("ts", lambda t: t["x"]), ""), F.lit("</s>"))
+    d = s.select("doc_id", "sent_ord", sent.alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_ord", "x"))).alias("ss"))
+    body = F.array_join(F.transform("ss", lambda t: t["x"]), "\n")
+    return d.select("doc_id", F.concat(F.lit('<TEI><text id="'), F.col("doc_id").cast("string"), F.lit('">\n'), body, F.lit("\n</text></TEI>")).alias("value"))
+
+
+def insert_tokens(texts: DataFrame, offsets: DataFrame) -> DataFrame:
+    """doc_id, sent_ord, value: ``text`` with <tok> around the ranges of ``offsets``."""
+    o = offsets.filter("start IS NOT NULL").groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tok_ord"))).alias("os"))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                parts, last = [], 0
+                for x in r.os:
+                    if x["start"] >= last:
+                        parts += [r.text[last : x["start"]], f'<tok id="w-{x["tok_ord"] + 1}">', r.text[x["start"] : x["end"]], "</tok>"]
+                        last = x["end"]
+                out.append((r.doc_id, r.sent_ord, "".join(["<s>", *parts, r.text[last:], "</s>"])))
+            yield pd.DataFrame(out, columns=["doc_id", "sent_ord", "value"])
+
+    return texts.join(o, ["doc_id", "sent_ord"]).mapInPandas(run, "doc_id bigint, sent_ord int, value string")
+
+
+def writeback(files: DataFrame, updates: DataFrame, attribute: str = "upos") -> DataFrame:
+    """file, value: XML whose tokens, found by id, get ``value`` of updates (file, tokid,
+    value) as an attribute; text stays as it was, else the file is left alone."""
+    u = updates.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("tokid", "value"))).alias("us"))
+    j = files.join(u, "file", "left").select("file", F.col("value").alias("xml"), F.col("us"))
+
+    def run(frames):
+        import xml.etree.ElementTree as ET
+
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                new = r.xml
+                us = dict(r.us) if r.us is not None else {}
+                try:
+                    root = ET.fromstring(r.xml)
+                    before = "".join(root.itertext())
+                    for t in root.iter("tok"):
+                        if t.get("id") in us:
+                            t.set(attribute, us[t.get("id")])
+                    if "".join(root.itertext()) == before:
+                        new = ET.tostring(root, encoding="unicode")
+                except ET.ParseError:
+                    pass
+                out.append((r.file, new))
+            yield pd.DataFrame(out, columns=["file", "value"])
+
+    return j.mapInPandas(run, "file string, value string")
+
+
+def read_tagset(xml: str) -> list[tuple[str, int, str, str, str]]:
+    """(category, position, character, feature, value) rows of a positional tag set."""
+    import xml.etree.ElementTree as ET
+
+    rows = []
+    for main in ET.fromstring(xml).findall(".//positions/item"):
+        for pos in main.findall("item"):
+            for v in pos.findall("item"):
+                rows.append((main.get("key"), int(pos.get("pos")), v.get("key"), pos.get("display"), v.get("display")))
+    return rows
+
+
+def decode_positional(tags: DataFrame, tagset: DataFrame) -> DataFrame:
+    """xpos, feats of positional tags, by a join of their characters with ``tagset``."""
+    chars = tags.select("xpos", F.left("xpos", F.lit(1)).alias("category"), F.posexplode(F.split("xpos", "")).alias("position", "character"))
+    hit = chars.join(tagset, ["category", "position", "character"])
+    feats = hit.groupBy("xpos").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "feature", "value"))), "|").alias("feats"))
+    return tags.select("xpos").distinct().join(feats, "xpos", "left").select("xpos", F.coalesce("feats", F.lit("_")).alias("feats"))
