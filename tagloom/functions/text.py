@@ -146,7 +146,7 @@ def extract_plain_text(markup) -> Column:
     t = F.regexp_replace(t, r"(?i)</?(p|div)( [^>]*)?>", "\n\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(t, r"\n\n+", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n\n+", "\n\n"), r"^\s+|\s+$", "")
 
 
 def strip_structure(markup) -> Column:

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def merge_registries(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def list_languages(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("language").agg(F.count(F.lit(1)).alias("n_models"), F.array_join(F.array_sort(F.collect_set("backend")), ",").alias("backends"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 

@@ -6,6 +6,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def make_rule(word: str, lemma: str) -> str:
@@ -44,12 +45,12 @@ def apply_rule(word: str, rule: str) -> str:
     return "" if next(stems, None) is not None else "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def make_lemma_rule(word: pd.Series, lemma: pd.Series) -> pd.Series:
     return pd.Series([make_rule(w, x) if w and x else None for w, x in zip(word, lemma)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def apply_lemma_rule(word: pd.Series, rule: pd.Series) -> pd.Series:
     return pd.Series([apply_rule(w, r) if w and r else "" for w, r in zip(word, rule)])
 

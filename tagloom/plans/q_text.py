@@ -8,7 +8,8 @@ from ..functions import text as T
 from .corpus import GOLD_SQL, SENT_SQL, TOK_SQL, explode_sentences, gold, read, tokens
 from .registry import query
 
-n_rows = F.count(F.lit(1)).alias("n")
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("segment_sentences", SENT_SQL + "SELECT doc_id, sent_ord, sent FROM sen")
@@ -25,12 +26,12 @@ def _(spark, d):
 
 @query("tokenize_ud", r"""SELECT form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}''_-]+|[^\s]')) AS form FROM documents) GROUP BY form""")
 def _(spark, d):
-    return read(spark, d, "documents").select(F.explode(T.tokenize_ud("text")).alias("form")).groupBy("form").agg(n_rows)
+    return read(spark, d, "documents").select(F.explode(T.tokenize_ud("text")).alias("form")).groupBy("form").agg(n_rows())
 
 
 @query("tokenize_whitespace", r"""SELECT form, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS form FROM documents) GROUP BY form""")
 def _(spark, d):
-    return read(spark, d, "documents").select(F.explode(T.tokenize_whitespace("text")).alias("form")).groupBy("form").agg(n_rows)
+    return read(spark, d, "documents").select(F.explode(T.tokenize_whitespace("text")).alias("form")).groupBy("form").agg(n_rows())
 
 
 @query("peel_trailing_punct", r"""
@@ -41,7 +42,7 @@ p AS (SELECT regexp_extract(w, '^(.+?)([.!?]+)$', 1) AS form FROM w WHERE regexp
 SELECT form, count(*) AS n FROM p GROUP BY form""")
 def _(spark, d):
     words = T.peel_trailing_punct(T.tokenize_whitespace("text"))
-    return read(spark, d, "documents").select(F.explode(words).alias("form")).groupBy("form").agg(n_rows)
+    return read(spark, d, "documents").select(F.explode(words).alias("form")).groupBy("form").agg(n_rows())
 
 
 @query("infer_space_from_next", GOLD_SQL + "SELECT doc_id, count(*) FILTER (WHERE space_after) AS n_space, count(*) FILTER (WHERE NOT space_after) AS n_none, count(*) FILTER (WHERE space_after IS NULL) AS n_last FROM gold GROUP BY doc_id")
@@ -60,17 +61,17 @@ CASE_SQL = r"CASE WHEN form = '' THEN 'll' WHEN regexp_matches(form, '^\p{Lu}')
 
 @query("form_case", TOK_SQL + f"SELECT {CASE_SQL} AS wcase, count(*) AS n FROM tok GROUP BY 1")
 def _(spark, d):
-    return tokens(spark, d).groupBy(T.form_case("form").alias("wcase")).agg(n_rows)
+    return tokens(spark, d).groupBy(T.form_case("form").alias("wcase")).agg(n_rows())
 
 
 @query("normalize_form", TOK_SQL + r"SELECT coalesce(nullif(regexp_replace(lower(form), '[^\p{L}\p{N}]', '', 'g'), ''), lower(form)) AS norm, count(*) AS n FROM tok GROUP BY 1")
 def _(spark, d):
-    return tokens(spark, d).groupBy(T.normalize_form("form").alias("norm")).agg(n_rows)
+    return tokens(spark, d).groupBy(T.normalize_form("form").alias("norm")).agg(n_rows())
 
 
 @query("word_ending", TOK_SQL + "SELECT right(form, 3) AS suffix, left(form, 2) AS prefix, count(*) AS n FROM tok GROUP BY 1, 2")
 def _(spark, d):
-    return tokens(spark, d).groupBy(T.word_ending("form", 3).alias("suffix"), T.word_ending("form", -2).alias("prefix")).agg(n_rows)
+    return tokens(spark, d).groupBy(T.word_ending("form", 3).alias("suffix"), T.word_ending("form", -2).alias("prefix")).agg(n_rows())
 
 
 _RAW_FEATS = "concat(' Num=', CASE WHEN length(form) % 2 = 0 THEN 'Plur' ELSE 'Sing' END, ' |', feats, '|junk|Abbr=', CASE WHEN length(form) < 3 THEN 'Yes' ELSE 'No' END)"
@@ -78,18 +79,18 @@ _RAW_FEATS = "concat(' Num=', CASE WHEN length(form) % 2 = 0 THEN 'Plur' ELSE 'S
 
 @query("normalize_feats", GOLD_SQL + f"""SELECT coalesce(nullif(array_to_string(list_sort(list_filter(list_transform(string_split({_RAW_FEATS}, '|'), lambda p: trim(p)), lambda p: p <> '_' AND contains(p, '='))), '|'), ''), '_') AS feats, count(*) AS n FROM gold GROUP BY 1""")
 def _(spark, d):
-    return gold(spark, d).withColumn("raw", F.expr(_RAW_FEATS)).groupBy(FE.normalize_feats("raw").alias("feats")).agg(n_rows)
+    return gold(spark, d).withColumn("raw", F.expr(_RAW_FEATS)).groupBy(FE.normalize_feats("raw").alias("feats")).agg(n_rows())
 
 
 @query("feats_to_map", GOLD_SQL + "SELECT regexp_extract(feats, 'Cap=([^|]*)', 1) AS cap, regexp_extract(feats, 'Len=([^|]*)', 1) AS len, count(*) AS n FROM gold WHERE feats <> '_' GROUP BY 1, 2")
 def _(spark, d):
     m = FE.feats_to_map("feats")
-    return gold(spark, d).filter("feats <> '_'").groupBy(m["Cap"].alias("cap"), m["Len"].alias("len")).agg(n_rows)
+    return gold(spark, d).filter("feats <> '_'").groupBy(m["Cap"].alias("cap"), m["Len"].alias("len")).agg(n_rows())
 
 
 @query("compose_tag", GOLD_SQL + "SELECT concat_ws('#', tag, nullif(feats, '_')) AS utot, count(*) AS n FROM gold GROUP BY 1")
 def _(spark, d):
-    return gold(spark, d).groupBy(FE.compose_tag("xpos", "tag", "feats").alias("utot")).agg(n_rows)
+    return gold(spark, d).groupBy(FE.compose_tag("xpos", "tag", "feats").alias("utot")).agg(n_rows())
 
 
 @query("unimorph_to_ud", """
@@ -112,7 +113,7 @@ SELECT CASE WHEN regexp_matches(k, '^[A-Za-z0-9_]+$') THEN k END AS key, count(*
 def _(spark, d):
     raw = read(spark, d, "part").select(F.concat_ws("_", "p_name", F.col("p_size").cast("string")).alias("raw"))
     k = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim("raw"), r"^#+\s*", ""), r"\[[^\]]*\]", ""), r"_?\d+$", "")
-    return raw.select(k.alias("k"), T.clean_misc_key("raw").alias("key")).distinct().groupBy("key").agg(n_rows)
+    return raw.select(k.alias("k"), T.clean_misc_key("raw").alias("key")).distinct().groupBy("key").agg(n_rows())
 
 
 _MISC = "concat('Translit=', lower(form), CASE WHEN space_after THEN '' ELSE '|SpaceAfter=No' END, '|Len=', CAST(length(form) AS STRING))"
@@ -121,7 +122,7 @@ _MISC = "concat('Translit=', lower(form), CASE WHEN space_after THEN '' ELSE '|S
 @query("extract_misc", GOLD_SQL + "SELECT CASE WHEN space_after THEN '' ELSE 'No' END AS space_after_misc, CAST(length(form) AS VARCHAR) AS len, count(*) AS n FROM gold GROUP BY 1, 2")
 def _(spark, d):
     g = gold(spark, d).withColumn("misc", F.expr(_MISC))
-    return g.groupBy(FE.extract_misc("misc", "SpaceAfter").alias("space_after_misc"), FE.extract_misc("misc", "Len").alias("len")).agg(n_rows)
+    return g.groupBy(FE.extract_misc("misc", "SpaceAfter").alias("space_after_misc"), FE.extract_misc("misc", "Len").alias("len")).agg(n_rows())
 
 
 def sentences_of(df, *extra):
@@ -145,12 +146,12 @@ def _(spark, d):
 
 @query("capitalization_only", TOK_SQL + "SELECT count(*) FILTER (WHERE lower(form) = lower(prev)) AS n_same, count(*) AS n FROM tok")
 def _(spark, d):
-    return tokens(spark, d).agg(F.count_if(T.capitalization_only("form", "prev")).alias("n_same"), n_rows)
+    return tokens(spark, d).agg(F.count_if(T.capitalization_only("form", "prev")).alias("n_same"), n_rows())
 
 
 @query("punctuation_only", TOK_SQL + r"SELECT form, prev, count(*) AS n FROM tok WHERE regexp_matches(form, '^[\p{Po}\p{Pi}\p{Pf}]$') AND regexp_matches(prev, '^[\p{Po}\p{Pi}\p{Pf}]$') GROUP BY 1, 2")
 def _(spark, d):
-    return tokens(spark, d).filter(T.punctuation_only("form", "prev")).groupBy("form", "prev").agg(n_rows)
+    return tokens(spark, d).filter(T.punctuation_only("form", "prev")).groupBy("form", "prev").agg(n_rows())
 
 
 _LANGS = ("Sorbian (Upper)", "French (GSD)", "Church Slavonic (Old)", "English", " Sami (Northern) ", "Greek (Ancient)")
@@ -164,7 +165,7 @@ def _(spark, d):
 
 @query("escape", GOLD_SQL + "SELECT coalesce(nullif(reg, ''), '_') AS reg, count(*) AS n FROM gold GROUP BY 1")
 def _(spark, d):
-    return gold(spark, d).groupBy(T.escape("reg").alias("reg")).agg(n_rows)
+    return gold(spark, d).groupBy(T.escape("reg").alias("reg")).agg(n_rows())
 
 
 @query("json_encode", GOLD_SQL + """SELECT doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, CAST(tok_ord AS BIGINT) AS tok_ord,
@@ -176,7 +177,7 @@ def _(spark, d):
 @query("parse_key_values", "SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     flat = F.regexp_replace(F.regexp_replace("props", r'[{}" ]', ""), ":", "=")
-    return read(spark, d, "events").groupBy(FE.parse_key_values(flat)["k"].alias("k")).agg(n_rows)
+    return read(spark, d, "events").groupBy(FE.parse_key_values(flat)["k"].alias("k")).agg(n_rows())
 
 
 @query("model_ratings", """SELECT * FROM (VALUES ('en_core_web_sm', 5, 2), ('en_core_web_md', 4, 3), ('de_core_news_lg', 3, 4), ('en_core_web_trf', 2, 5), ('other', 3, 3)) t(name, speed, accuracy)""")
@@ -197,21 +198,21 @@ def _(spark, d):
 
 @query("wcase_lemma", GOLD_SQL + "SELECT lemma, count(*) AS n FROM gold GROUP BY lemma")
 def _(spark, d):
-    return gold(spark, d).groupBy("lemma").agg(n_rows)  # the transfer of case to a lemma is the identity
+    return gold(spark, d).groupBy("lemma").agg(n_rows())  # the transfer of case to a lemma is the identity
 
 
 @query("annotation_attr_norm", GOLD_SQL + "SELECT nfc_normalize(lemma) AS lemma, count(*) AS n FROM gold GROUP BY 1")
 def _(spark, d):
     from ..operators.unicode import normalize_unicode
 
-    return normalize_unicode(gold(spark, d).groupBy("lemma").agg(n_rows), ["lemma"]).groupBy("lemma").agg(F.sum("n").alias("n"))
+    return normalize_unicode(gold(spark, d).groupBy("lemma").agg(n_rows()), ["lemma"]).groupBy("lemma").agg(F.sum("n").alias("n"))
 
 
 @query("normalize_unicode", TOK_SQL + "SELECT nfc_normalize(form) AS form, count(*) AS n FROM tok GROUP BY 1")
 def _(spark, d):
     from ..operators.unicode import normalize_unicode
 
-    return normalize_unicode(tokens(spark, d).groupBy("form").agg(n_rows), ["form"]).groupBy("form").agg(F.sum("n").alias("n"))
+    return normalize_unicode(tokens(spark, d).groupBy("form").agg(n_rows()), ["form"]).groupBy("form").agg(F.sum("n").alias("n"))
 
 
 @query("sanitize_utf8", "SELECT doc_id, text FROM documents")
@@ -224,7 +225,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_oov FROM tok WHERE doc_id % 2 = 1 AND form
 def _(spark, d):
     t = tokens(spark, d)
     voc = t.filter("doc_id % 2 = 0").select("form").distinct()
-    forms = t.filter("doc_id % 2 = 1").groupBy("form").agg(n_rows)
+    forms = t.filter("doc_id % 2 = 1").groupBy("form").agg(n_rows())
     unknown = forms.join(voc, "form", "left_anti").withColumn("low", F.lower("form"))
     return unknown.join(voc.select(F.col("form").alias("low")), "low", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_oov"))
 
@@ -246,7 +247,7 @@ SELECT fmt, count(*) AS n FROM (
  FROM (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages)) GROUP BY fmt""")
 def _(spark, d):
     t = read(spark, d, "documents").select("text").union(read(spark, d, "pages").select("html"))
-    return t.groupBy(T.detect_input_format("text").alias("fmt")).agg(n_rows)
+    return t.groupBy(T.detect_input_format("text").alias("fmt")).agg(n_rows())
 
 
 @query("extract_xml_plain_text")
