@@ -38,7 +38,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests of every text that is left."""
-    return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), with_ids=True, with_digests=True).drop("decoded")
+    return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), with_digests=True)
 
 
 STAGES = [

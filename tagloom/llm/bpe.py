@@ -27,7 +27,9 @@ from .common import process_cache, small_batches, table
 SPLIT_PATTERN = (
     r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-HOT_WORDS = 1 << 17
+HOT_WORDS = 1 << 16
+#: Rarer words that a worker keeps encoded, and rows in an Arrow batch: both bound its memory.
+RARE_WORDS, BATCH = 100_000, 128
 SPECIAL = "<|endoftext|>"
 
 
@@ -117,18 +119,19 @@ def encode_documents(
     tokenizer_path: str | None = None,
     hot_words: int = HOT_WORDS,
     with_ids: bool = True,
+    with_text: bool = False,
     with_digests: bool = False,
 ) -> DataFrame:
     """Token ids of whole texts, and what they decode to.
 
     Returns the columns ``keep`` and ``n_tokens``; with ``with_ids`` also
-    ``ids array<int>`` and ``decoded string``; with ``with_digests`` also
+    ``ids array<int>``, with ``with_text`` ``decoded string``, with ``with_digests``
     ``ids_sha256`` and ``decoded_sha256``. One row per row of ``docs``. Null
     texts count as empty: no ids. Empty tables give no rows. Repeated rows are
     repeated. Extra columns are ignored, even of clashing names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     path = tokenizer_path or default_tokenizer_path()
     source = docs.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)],
@@ -140,7 +143,9 @@ def encode_documents(
     kinds = {k: docs.schema[k].dataType.simpleString() for k in keep}
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["n_tokens bigint"])
     if with_ids:
-        schema += ", ids array<int>, decoded string"
+        schema += ", ids array<int>"
+    if with_text:
+        schema += ", decoded string"
     if with_digests:
         schema += ", ids_sha256 string, decoded_sha256 string"
     n_keep = len(keep)
@@ -159,7 +164,7 @@ def encode_documents(
             index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             new = [w for w in distinct if w not in known and w not in rare]
             if new:
-                if len(rare) > 500_000:
+                if len(rare) + len(new) > RARE_WORDS:
                     rare.clear()
                     new = [w for w in distinct if w not in known]
                 rare.update(zip(new, _encode_words(path, new), strict=True))
@@ -182,6 +187,7 @@ def encode_documents(
             )
             if with_ids:
                 out.append(id_lists.cast(pa.list_(pa.int32())))
+            if with_text:
                 out.append(pa.array([x.as_py().decode("utf-8", "replace") for x in decoded], pa.string()))
             if with_digests:
                 names = process_cache(
@@ -192,7 +198,7 @@ def encode_documents(
                 out += [sha(joined), sha(decoded)]
             yield pa.RecordBatch.from_arrays(out, names_)
 
-    names_ = [*keep, "n_tokens"] + ["ids", "decoded"] * with_ids + ["ids_sha256", "decoded_sha256"] * with_digests
+    names_ = [*keep, "n_tokens"] + ["ids"] * with_ids + ["decoded"] * with_text + ["ids_sha256", "decoded_sha256"] * with_digests
     split = source.select(*[f"_k{i}" for i in range(n_keep)], words_column(F.col("_t")).alias("_w"))
     return split.mapInArrow(run, schema)
 
