@@ -142,7 +142,9 @@ def detect_input_format(c) -> Column:
 
 def extract_plain_text(markup) -> Column:
     """Text of markup: notes and scripts go, blocks break lines, tags go."""
-    t = F.regexp_replace(col(markup), r"(?is)<(note|script|style)[ >].*?</\1>", "")
+    t = col(markup)
+    for name in ("note", "script", "style"):
+        t = F.regexp_replace(t, rf"(?is)<{name}[ >].*?</{name}>", "")
     t = F.regexp_replace(t, r"(?i)</?(p|div)( [^>]*)?>", "\n\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")

@@ -219,9 +219,11 @@ def _sent_texts(spark, d):
     return explode_sentences(read(spark, d, "documents")).select("doc_id", "sent_ord", F.col("sent").alias("text"))
 
 
-@query("token_offsets")
+@query("token_offsets", SENT_SQL + r""", m AS (SELECT doc_id, sent_ord, regexp_extract_all(sent, '([\p{L}\p{N}\p{M}''_-]+|[^\s])\s?') AS f FROM sen),
+x AS (SELECT doc_id, sent_ord, i - 1 AS tok_ord, length(f[i]) AS n, length(trim(f[i])) AS w FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM m))
+SELECT doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, CAST(tok_ord AS BIGINT) AS tok_ord, CAST(sum(n) OVER (PARTITION BY doc_id, sent_ord ORDER BY tok_ord) - n AS BIGINT) AS start, CAST(sum(n) OVER (PARTITION BY doc_id, sent_ord ORDER BY tok_ord) - n + w AS BIGINT) AS "end" FROM x""")
 def _(spark, d):
-    return S.token_offsets(tokens(spark, d), _sent_texts(spark, d))
+    return _longs(S.token_offsets(tokens(spark, d), _sent_texts(spark, d)), "sent_ord", "tok_ord")
 
 
 @query("sentence_offsets", SENT_SQL + r"SELECT doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, CAST(0 AS BIGINT) AS start, CAST(length(sent) AS BIGINT) AS end_ FROM sen")

@@ -13,7 +13,7 @@ from ..operators import splits as SP
 from ..operators import tagger as TA
 from ..operators import transforms as X
 from ..sources import conllu as CO
-from ..sources import lexicon_tsv, model, teitok
+from ..sources import lexicon_tsv, model, tei, treebanks
 from .corpus import GOLD_SQL, SENT_SQL, TOK_SQL, explode_sentences, gold, read, tokens
 from .q_lexicon import ENTRIES_SQL, entries
 from .registry import query
@@ -130,44 +130,63 @@ def _(spark, d):
 
 
 def tei_files(spark, d):
-    return teitok.write_teitok(gold(spark, d)).select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("file"), "value")
+    return tei.write_tei(gold(spark, d)).select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("file"), "value")
 
 
 _TEI = "SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_ord) - 1 AS BIGINT) AS sent_ord, CAST(tok_ord AS BIGINT) AS tok_ord, form, tag AS upos, xpos, nullif(reg, '') AS reg, space_after FROM gold"
 
 
 def _tei(spark, d):
-    t = teitok.read_teitok(tei_files(spark, d))
+    t = tei.read_tei(tei_files(spark, d))
     return longs(t.select(F.col("doc_id").cast("bigint").alias("doc_id"), "sent_ord", "tok_ord", "form", "upos", "xpos", "reg", "space_after"))
 
 
 for _name in ("read_teitok", "read_teitok_mapped", "read_teitok_native"):
     query(_name, GOLD_SQL + _TEI)(lambda spark, d: _tei(spark, d))
+
+
+def _esc(c):
+    return f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _attr(name, c):
+    return f"CASE WHEN {c} NOT IN ('', '_') THEN ' {name}=\"' || {_esc(c)} || '\"' ELSE '' END"
+
+
+def _tei_sql(xpos="xpos", reg="reg"):
+    place = "'<tok id=\"w-' || CAST(sent_ord + 1 AS VARCHAR) || '-' || CAST(tok_ord + 1 AS VARCHAR) || '\"'"
+    lemma = f"CASE WHEN lemma <> '' THEN ' lemma=\"' || {_esc('lemma')} || '\"' ELSE '' END"
+    attrs = " || ".join([place, lemma, _attr("upos", "tag"), _attr(xpos, "xpos"), _attr("feats", "feats"), _attr("head", "CAST(head AS VARCHAR)"), _attr("deprel", "deprel"), _attr(reg, "reg")])
+    tok = f"{attrs} || '>' || {_esc('form')} || '</tok>' || CASE WHEN space_after THEN ' ' ELSE '' END"
+    return GOLD_SQL + f""", ts AS (SELECT doc_id, sent_ord, '<s id="s-' || CAST(sent_ord + 1 AS VARCHAR) || '">' || string_agg({tok}, '' ORDER BY tok_ord) || '</s>' AS x FROM gold GROUP BY doc_id, sent_ord)
+SELECT doc_id, '<TEI><text id="' || CAST(doc_id AS VARCHAR) || '">' || chr(10) || string_agg(x, chr(10) ORDER BY sent_ord) || chr(10) || '</text></TEI>' AS value FROM ts GROUP BY doc_id"""
+
+
 for _name in ("write_teitok", "write_teitok_python", "write_teitok_native"):
-    query(_name)(lambda spark, d: tei_files(spark, d))
+    query(_name, _tei_sql())(lambda spark, d: tei.write_tei(gold(spark, d)))
 
 
 @query("attr_fallback", GOLD_SQL + "SELECT coalesce(nullif(nullif(reg, ''), '--'), nullif(nullif(feats, ''), '--'), tag) AS v, count(*) AS n FROM gold GROUP BY 1")
 def _(spark, d):
-    return gold(spark, d).groupBy(F.coalesce(teitok.attr_fallback("reg", "feats"), "tag").alias("v")).agg(L.n())
+    return gold(spark, d).groupBy(F.coalesce(tei.attr_fallback("reg", "feats"), "tag").alias("v")).agg(L.n())
 
 
-@query("remap_attributes")
+@query("remap_attributes", _tei_sql("msd", "nform"))
 def _(spark, d):
-    return teitok.write_teitok(gold(spark, d), {"xpos": "msd", "reg": "nform"})
+    return tei.write_tei(gold(spark, d), {"xpos": "msd", "reg": "nform"})
 
 
 @query("insert_tokens")
 def _(spark, d):
     texts = explode_sentences(read(spark, d, "documents")).select("doc_id", "sent_ord", F.col("sent").alias("text"))
-    return teitok.insert_tokens(texts, S.token_offsets(tokens(spark, d), texts))
+    return tei.insert_tokens(texts, S.token_offsets(tokens(spark, d), texts))
 
 
 @query("writeback_update")
 def _(spark, d):
     f = tei_files(spark, d)
     t = gold(spark, d).select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("file"), F.concat_ws("-", F.lit("w"), (F.col("sent_ord") + 1).cast("string"), (F.col("tok_ord") + 1).cast("string")).alias("tokid"), F.concat(F.lit("X"), "tag").alias("value"))
-    return teitok.writeback(f, t)
+    return tei.writeback(f, t)
 
 
 _IDS = ", tid AS (SELECT doc_id, sent_ord, tok_ord, 'w-' || CAST(tok_ord % 50 AS VARCHAR) AS tokid FROM gold)\n"
@@ -396,11 +415,30 @@ for _name in ("read_model_json", "write_model"):
 def _(spark, d):
     xml = """<tagset><positions><item key="N" display="Noun"><item pos="2" display="Gender"><item key="M" display="Masc"/><item key="F" display="Fem"/></item>
     <item pos="3" display="Number"><item key="S" display="Sing"/><item key="P" display="Plur"/></item></item></positions></tagset>"""
-    tagset = spark.createDataFrame(teitok.read_tagset(xml), "category string, position int, character string, feature string, value string")
-    return teitok.decode_positional(spark.createDataFrame([("NCMS",), ("NCFP",), ("X",)], "xpos string"), tagset)
+    tagset = spark.createDataFrame(tei.read_tagset(xml), "category string, position int, character string, feature string, value string")
+    return tei.decode_positional(spark.createDataFrame([("NCMS",), ("NCFP",), ("X",)], "xpos string"), tagset)
 
 
 @query("read_tagset_xml", "SELECT * FROM (VALUES ('N', 'Gender', 'Masc'), ('N', 'Gender', 'Fem')) t(category, feature, value)")
 def _(spark, d):
     xml = '<tagset><positions><item key="N"><item pos="2" display="Gender"><item key="M" display="Masc"/><item key="F" display="Fem"/></item></item></positions></tagset>'
-    return spark.createDataFrame([(r[0], r[3], r[4]) for r in teitok.read_tagset(xml)], "category string, feature string, value string")
+    return spark.createDataFrame([(r[0], r[3], r[4]) for r in tei.read_tagset(xml)], "category string, feature string, value string")
+
+
+@query("read_model_xml", "SELECT * FROM (VALUES ('go', 'VB', '3'), ('go', 'NN', '1'), ('a', 'DT', '9')) t(form, tag, n)")
+def _(spark, d):
+    xml = '<model><lexicon><item key="go"><tok key="VB" cnt="3"/><tok key="NN" cnt="1"/></item><item key="a"><tok key="DT" cnt="9"/></item></lexicon></model>'
+    m = model.read_model_xml(spark.createDataFrame([(xml,), ("<bad",)], "value string"))
+    return m.select(F.col("key").alias("form"), F.col("attrs")["key"].alias("tag"), F.col("attrs")["cnt"].alias("n"))
+
+
+@query("discover_treebanks")
+def _(spark, d):
+    return treebanks.discover_treebanks(spark, d, pattern="*.parquet").select("name", "size")
+
+
+@query("find_ud_splits", "SELECT * FROM (VALUES ('train', 'a/x-ud-train.conllu'), ('dev', 'a/dev.conllu'), ('test', 'b/y-test.conllu')) t(split, file)")
+def _(spark, d):
+    names = ["a/x-ud-train.conllu", "a/train.conllu", "a/dev.conllu", "b/y-test.conllu", "b/test.xml", "c/readme.txt"]
+    f = spark.createDataFrame([(n,) for n in names], "file string")
+    return treebanks.find_splits(f.withColumn("name", F.regexp_extract("file", "[^/]*$", 0)))

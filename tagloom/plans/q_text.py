@@ -250,7 +250,14 @@ def _(spark, d):
     return t.groupBy(T.detect_input_format("text").alias("fmt")).agg(n_rows())
 
 
-@query("extract_xml_plain_text")
+_DROP = "html"
+for _n in ("note", "script", "style"):
+    _DROP = f"regexp_replace({_DROP}, '(?is)<{_n}[ >].*?</{_n}>', '', 'g')"
+_PLAIN = f"regexp_replace(regexp_replace({_DROP}, '(?i)</?(p|div)( [^>]*)?>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+
+
+@query("extract_xml_plain_text", rf"SELECT page_id, regexp_replace(regexp_replace({_PLAIN}, '\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", T.extract_plain_text("html").alias("text"))
 

@@ -29,3 +29,26 @@ def read_model_json(documents: DataFrame) -> DataFrame:
     """Lexicon rows of whole-model JSON objects in ``value``."""
     v = documents.select(F.from_json("value", SCHEMA).alias("m")).select(F.explode("m.vocab").alias("form", "es"))
     return v.select("form", F.explode("es").alias("e")).select("form", "e.lemma", "e.xpos", F.col("e.upos").alias("tag"), "e.feats", "e.reg", F.col("e.count").alias("n"))
+
+
+def read_model_xml(documents: DataFrame, path: str = "./lexicon/item") -> DataFrame:
+    """key, attrs of the entries of XML models in ``value``: the elements at ``path`` and,
+    nested in them, their analyses; broken XML has none."""
+    import pandas as pd
+
+    def run(frames):
+        import xml.etree.ElementTree as ET
+
+        for f in frames:
+            rows = []
+            for xml in f["value"]:
+                try:
+                    root = ET.fromstring(xml)
+                except ET.ParseError:
+                    continue
+                for item in root.findall(path):
+                    for e in list(item) or [item]:
+                        rows.append((item.get("key"), {k: v for k, v in e.attrib.items() if k != "key" or e is not item}))
+            yield pd.DataFrame(rows, columns=["key", "attrs"])
+
+    return documents.select("value").mapInPandas(run, "key string, attrs map<string,string>")

@@ -1,4 +1,4 @@
-"""TEITOK XML in and out: a file is a row; nested markup is walked in Arrow batches."""
+"""TEI XML in and out: a file is a row; nested markup is walked in Arrow batches."""
 from __future__ import annotations
 
 import pandas as pd
@@ -77,7 +77,7 @@ def parse(file: str, xml: str, fallbacks=FALLBACKS) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def read_teitok(files: DataFrame, fallbacks=FALLBACKS) -> DataFrame:
+def read_tei(files: DataFrame, fallbacks=FALLBACKS) -> DataFrame:
     """Tokens of ``file, value`` rows, in the normalised model."""
     names = [f.strip().split()[0] for f in TOKENS.split(",")]
 
@@ -90,9 +90,9 @@ def read_teitok(files: DataFrame, fallbacks=FALLBACKS) -> DataFrame:
     return files.select("file", "value").mapInPandas(run, TOKENS)
 
 
-def read_teitok_files(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_tei_files(spark: SparkSession, path: str, **options) -> DataFrame:
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(path)
-    return read_teitok(files.select(F.col("_metadata.file_path").alias("file"), "value"), **options)
+    return read_tei(files.select(F.col("_metadata.file_path").alias("file"), "value"), **options)
 
 
 def xml_escape(c):
@@ -100,7 +100,7 @@ def xml_escape(c):
     return F.replace(out, F.lit('"'), F.lit("&quot;"))
 
 
-def write_teitok(tokens: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+def write_tei(tokens: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """doc_id, value: a TEI document of each; ``names`` renames attributes.
 
     Null, empty and ``_`` values are left out, but for lemma.

@@ -1,5 +1,5 @@
 from tagloom.plans.corpus import gold
-from tagloom.sources import conllu, teitok
+from tagloom.sources import conllu, tei
 
 CONLLU = """# newdoc id = d1
 # sent_id = s1
@@ -40,13 +40,13 @@ def test_conllu_round_trip(spark, data):
     assert key(g.selectExpr("cast(doc_id AS string) AS doc_id", "form", "tag")) == key(back.selectExpr("doc_id", "form", "upos AS tag"))
 
 
-def test_teitok(spark):
+def test_tei(spark):
     xml = """<TEI><text id="t"><s id="s1"><name type="PER"><tok id="w1" upos="X" msd="M" nform="ne">a</tok></name> <tok id="w1" form="--">x</tok><tok id="w1">b</tok><tok>c &amp; d</tok></s></text></TEI>"""
     files = spark.createDataFrame([("f.xml", xml), ("bad.xml", "<a>")], "file string, value string")
-    rows = teitok.read_teitok(files).orderBy("tok_ord").collect()
+    rows = tei.read_tei(files).orderBy("tok_ord").collect()
     assert [(r.form, r.tokid, r.space_after) for r in rows] == [("a", "w1", True), ("b", "w1-2", False), ("c & d", None, None)]
     assert rows[0].entity == "PER" and rows[0].xpos == "M" and rows[0].reg == "ne"
-    new = teitok.writeback(files, spark.createDataFrame([("f.xml", "w1", "NOUN")], "file string, tokid string, value string"))
+    new = tei.writeback(files, spark.createDataFrame([("f.xml", "w1", "NOUN")], "file string, tokid string, value string"))
     assert 'upos="NOUN"' in {r.file: r.value for r in new.collect()}["f.xml"]
 
 
