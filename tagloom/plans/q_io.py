@@ -350,7 +350,7 @@ def _(spark, d):
 @query("finetune")
 def _(spark, d):
     g = gold(spark, d)
-    train, test = g.filter("doc_id % 2 = 0"), g.filter("doc_id % 16 = 1")
+    train, test = g.filter("doc_id % 2 = 0"), g.filter("doc_id % 2 = 1")
     e = L.vocab_counts(train)
     truth = test.select("doc_id", "sent_ord", "tok_ord", "tag")
     cells = LU.candidate_lattice(test.select("form").distinct(), e, L.ending_index(e), L.type_counts(e)).cache()
@@ -360,7 +360,7 @@ def _(spark, d):
         t = TA.viterbi_tag(test, cells, m, TA.Settings(**s)).join(truth, ["doc_id", "sent_ord", "tok_ord"])
         return t.agg(F.avg((F.col("pred") == F.col("tag")).cast("int"))).first()[0] or 0.0
 
-    best, score, calls = TA.finetune(accuracy, {"factor": 1.0, "smooth": 0.0}, {"factor": [0.5], "smooth": [1.0]}, most=6)
+    best, score, calls = TA.finetune(accuracy, {"factor": 1.0, "smooth": 0.0}, {"smooth": [1.0]}, most=3)
     return spark.createDataFrame([(best["factor"], best["smooth"], float(score), calls)], "factor double, smooth double, accuracy double, calls int")
 
 
