@@ -11,7 +11,9 @@ runs tile all windows of a document (about one run for each half window).
    bytes go, by anchor, to tasks that build a suffix array (two-stage sorting) over
    them; adjacent common prefixes give the windows that repeat.
 3. An anchor with more than ``RUNS`` different runs is dealt out over several tasks;
-   what each finds only once is counted across them by a 128-bit hash.
+   each tells the kinds of windows that it has, in blocks. Blocks whose common bytes
+   (by a 128-bit hash) nobody else has are dropped, the others halved and so on, down
+   to single windows; so few rows move even where a third of all rows share a passage.
 
 Repeated windows go back to the runs, the runs to the texts they are in. Texts are
 told apart by a 64-bit hash and their size; equal texts have equal results.
@@ -33,7 +35,9 @@ RUNS = 1024
 CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 21
 _POSITION_BITS = np.uint64(28)
-_RUN_SCHEMA = "th bigint, size int, lo int, n_windows int, anchor bigint, run bigint"
+_RUN_SCHEMA = "th bigint, size int, lo int, n_windows int, place int, anchor bigint, run bigint"
+#: Windows in a block, level by level, for anchors that are dealt out over tasks.
+WIDTHS = (64, 16, 4, 1)
 
 
 def _gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
@@ -54,14 +58,15 @@ def _gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
 
 
 def runs_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(document, lo, n_windows, anchor hash) arrays for documents laid end to end.
+    """(document, lo, n_windows, place, anchor hash) arrays for documents laid end to end.
 
-    ``ends`` has where each document ends; lo counts from its document's start.
+    ``ends`` has where each document ends; lo counts from its document's start, and
+    place, that of the anchor, from lo.
     """
     t = np.frombuffer(data, np.uint8)
     empty = np.zeros(0, np.int64)
     if len(t) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64)
     h = _gram_hashes(t, gram)
     mask = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
     v = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
@@ -80,9 +85,9 @@ def runs_of(data: bytes, ends: np.ndarray, length: int = LENGTH, gram: int = GRA
     new[1:] &= (anchor[1:] != anchor[:-1]) | ~fits[:-1]
     lo = np.flatnonzero(new)
     if not len(lo):
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64)
     n = np.add.reduceat(fits, lo)
-    return doc[lo], lo - starts[doc[lo]], n, h[anchor[lo]]
+    return doc[lo], lo - starts[doc[lo]], n, anchor[lo] - lo, h[anchor[lo]]
 
 
 def _blocks(texts: list[bytes], most: int = BLOCK_BYTES):
@@ -100,7 +105,7 @@ def _blocks(texts: list[bytes], most: int = BLOCK_BYTES):
 def text_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """All runs of all rows of ``docs`` (th, size, text)."""
     names = [f.split()[0] for f in _RUN_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches):
         import xxhash
@@ -111,13 +116,13 @@ def text_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for a, e in _blocks(texts):
                 data = b"".join(texts[a:e])
                 ends = np.cumsum([len(t) for t in texts[a:e]])
-                doc, lo, n, anchor = runs_of(data, ends, length, gram)
+                doc, lo, n, place, anchor = runs_of(data, ends, length, gram)
                 at = (lo + np.concatenate([[0], ends[:-1]])[doc]).tolist() if len(doc) else []
                 digest = xxhash.xxh64_intdigest
                 whole = np.fromiter(
                     (digest(data[s : s + k + length - 1], 7) for s, k in zip(at, n.tolist(), strict=True)), np.uint64, len(doc)
                 )
-                columns = [th[a:e][doc], size[a:e][doc], lo, n, anchor.view(np.int64), whole.view(np.int64)]
+                columns = [th[a:e][doc], size[a:e][doc], lo, n, place, anchor.view(np.int64), whole.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return docs.select("th", "size", "text").mapInArrow(run, _RUN_SCHEMA)
@@ -132,18 +137,57 @@ def _intervals(mask: np.ndarray) -> list[dict]:
 _IV = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
+def _blocks_of(data: bytes, first: int, n: int, place: int, width: int, length: int):
+    """(at, n, inner hash, bytes) of the blocks of ``width`` windows that cut the n
+    windows from ``first`` on. ``data`` starts at window ``first``. Blocks are laid
+    out from the anchor, so equal windows lie in blocks alike; ``inner`` is what all
+    windows of a whole block have in common, so a part of a block has it too."""
+    import xxhash
+
+    at = first
+    while at < first + n:
+        left = (at - place) // width * width + place  # where the whole block begins
+        stop = min(left + width, first + n)
+        inner = data[left + width - 1 - first : left + length - first]
+        yield at, stop - at, xxhash.xxh3_128_digest(inner), data[at - first : stop - 1 + length - first]
+        at = stop
+
+
+def _shared_across(blocks: DataFrame, length: int) -> DataFrame:
+    """anchor, run, at: windows that blocks of several tasks share. Level by level, a
+    block stays if what its windows have in common occurs in another block, and is
+    cut into smaller ones; the last level's blocks are single windows."""
+    names = ["anchor", "run", "place", "at", "n", "inner", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    schema = "anchor bigint, run bigint, place int, at int, n int, inner binary, bytes binary"
+    for k, width in enumerate(WIDTHS):
+        twice = blocks.groupBy("inner").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("inner").alias("_i"))
+        left = blocks.join(twice, F.col("inner") == F.col("_i"), "left_semi")
+        if k == len(WIDTHS) - 1:
+            return left.select("anchor", "run", "at")
+        smaller = WIDTHS[k + 1]
+
+        def cut(batches, width=smaller):
+            for b in batches:
+                rows = []
+                for a, r, p, at, n, data in zip(*[b.column(c).to_pylist() for c in ("anchor", "run", "place", "at", "n", "bytes")], strict=True):
+                    rows += [(a, r, p, *x) for x in _blocks_of(data, at, n, p, min(width, length), length)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+        blocks = stored(left.mapInArrow(cut, schema), f"dedup-blocks-{smaller}")
+
+
 def _suffix_stage(fragments: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
     """Repeated windows among the runs of each (anchor, chunk), by suffix array.
 
     A row for each run with repeated windows (iv); for anchors in several chunks
-    also a row for each window that this chunk has to tell the others about.
+    also rows for the blocks of windows that this chunk has to tell the others about.
     """
-    schema = "anchor bigint, run bigint, iv array<struct<a:int,b:int>>, at int, window binary, known boolean, chunk int"
-    names = ["anchor", "run", "iv", "at", "window", "known", "chunk"]
+    schema = "anchor bigint, run bigint, iv array<struct<a:int,b:int>>, place int, at int, n int, inner binary, bytes binary"
+    names = ["anchor", "run", "iv", "place", "at", "n", "inner", "bytes"]
+    kinds = [pa.int64(), pa.int64(), _IV, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def solve(rows):
-        import xxhash
-
         data = b"".join(r[4] for r in rows)
         sizes = np.array([len(r[4]) for r in rows])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -152,26 +196,24 @@ def _suffix_stage(fragments: DataFrame, length: int, chunk_bytes: int) -> DataFr
         repeated, group = repeated_starts(data, valid, length)
         seen: set[int] = set()
         out, at = [], 0
-        for r, f, k in zip(rows, first.tolist(), n.tolist()):
+        for r, k in zip(rows, n.tolist()):
             mask = repeated[at : at + k]
             if mask.any():
-                out.append((r[0], r[1], _intervals(mask), None, None, None, r[2]))
-            if r[3] > 1:
-                for i in range(k):
-                    known, g = bool(mask[i]), int(group[at + i])
-                    if known and g in seen:
-                        continue
-                    seen.add(g)
-                    window = xxhash.xxh3_128_digest(data[f + i : f + i + length])
-                    out.append((r[0], r[1], None, i, window, known, r[2]))
+                out.append((r[0], r[1], _intervals(mask), None, None, None, None, None))
+            if r[3] > 1:  # each kind of window that others may have too is told once
+                names_ = group[at : at + k].tolist()
+                new = np.array([g not in seen for g in names_])
+                seen.update(names_)
+                for a, m, inner, part in _blocks_of(r[4], 0, k, r[5], min(WIDTHS[0], length), length):
+                    if new[a : a + m].any():
+                        out.append((r[0], r[1], None, r[5], a, m, inner, part))
             at += k
-        kinds = [pa.int64(), pa.int64(), _IV, pa.int32(), pa.binary(), pa.bool_(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
 
     def run(batches):
         rows, group, held, total, taken = [], None, [], 0, set()
         for b in batches:
-            for r in zip(*[b.column(c).to_pylist() for c in ("anchor", "run", "chunk", "chunks", "bytes")], strict=True):
+            for r in zip(*[b.column(c).to_pylist() for c in ("anchor", "run", "chunk", "chunks", "bytes", "place")], strict=True):
                 if (r[0], r[2]) != group:
                     group = (r[0], r[2])
                     if len(held) > 1 or held and held[0][3] > 1:
@@ -201,7 +243,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     texts = docs.select(F.xxhash64(body).alias("th"), F.octet_length(body).alias("size"), body.alias("text"), *[F.col(c).alias(f"_o_{c}") for c in others])
     small_batches(spark)
     all_runs = stored(text_runs(texts.filter(F.col("size") >= length), length, gram), "dedup-runs")
-    where = F.struct("th", "size", "lo", "n_windows")
+    where = F.struct("th", "size", "lo", "n_windows", "place")
     kinds = stored(
         all_runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("w")), "dedup-kinds"
     )
@@ -209,32 +251,32 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     shared = shared.select(F.col("anchor").alias("_a"), F.ceil(F.col("kinds") / runs).cast("int").alias("chunks"))
     wanted = kinds.join(shared, F.col("anchor") == F.col("_a")).select(
         F.col("w.th").alias("_th"), F.col("w.size").alias("_size"),
-        F.struct("anchor", "run", F.pmod("run", "chunks").cast("int").alias("chunk"), "chunks", F.col("w.lo").alias("lo"), F.col("w.n_windows").alias("k")).alias("r"),
+        F.struct("anchor", "run", F.pmod("run", "chunks").cast("int").alias("chunk"), "chunks", F.col("w.lo").alias("lo"), F.col("w.n_windows").alias("k"), F.col("w.place").alias("place")).alias("r"),
     )
     wanted = wanted.groupBy("_th", "_size").agg(F.collect_list("r").alias("rs"))
     located = texts.join(wanted, (texts["th"] == wanted["_th"]) & (texts["size"] == wanted["_size"])).drop("_th", "_size")
 
     def cut(batches):
-        names = ["anchor", "run", "chunk", "chunks", "bytes"]
-        kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["anchor", "run", "chunk", "chunks", "bytes", "place"]
+        kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         for b in batches:
             for t, rs in zip(b.column("text").to_pylist(), b.column("rs").to_pylist(), strict=True):
                 raw = t.encode()
-                rows = [(r["anchor"], r["run"], r["chunk"], r["chunks"], raw[r["lo"] : r["lo"] + r["k"] + length - 1]) for r in rs]
+                rows = [(r["anchor"], r["run"], r["chunk"], r["chunks"], raw[r["lo"] : r["lo"] + r["k"] + length - 1], r["place"]) for r in rs]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)], names)
 
-    fragments = located.mapInArrow(cut, "anchor bigint, run bigint, chunk int, chunks int, bytes binary")
+    fragments = located.mapInArrow(cut, "anchor bigint, run bigint, chunk int, chunks int, bytes binary, place int")
     dealt = fragments.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk")
     solved = stored(_suffix_stage(dealt, length, chunk_bytes), "dedup-solved")
-    told = solved.filter(F.col("window").isNotNull())
-    twice = told.groupBy("window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("window").alias("_w"))
-    late = told.filter("not known").join(twice, F.col("window") == F.col("_w")).select(
-        "anchor", "run", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("iv")
-    )
+    found = solved.filter(F.col("iv").isNotNull()).select("anchor", "run", "iv")
+    told = solved.filter(F.col("inner").isNotNull()).drop("iv")
+    if not told.isEmpty():
+        late = _shared_across(told, length)
+        found = found.unionByName(late.select("anchor", "run", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("iv")))
     copied = kinds.filter("n > 1").select(
         "anchor", "run", F.array(F.struct(F.lit(0).alias("a"), F.col("w.n_windows").alias("b"))).alias("iv")
     )
-    found = solved.filter(F.col("iv").isNotNull()).select("anchor", "run", "iv").unionByName(late).unionByName(copied)
+    found = found.unionByName(copied)
     found = found.groupBy("anchor", "run").agg(F.flatten(F.collect_list("iv")).alias("iv"))
     found = found.select(F.col("anchor").alias("_a"), F.col("run").alias("_r"), "iv")
     back = all_runs.join(found, (all_runs["anchor"] == found["_a"]) & (all_runs["run"] == found["_r"]))
