@@ -14,6 +14,7 @@ more than the disk budget allows, hence the bound and the in-task rest.
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ def words_column(text):
 
 def _tokenizer(path: str):
     def load():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread, one malloc arena a worker
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -152,6 +154,7 @@ def encode_documents(
 
     def run(batches):
         known, rare, pieces = shared.value, {}, _pieces(path)
+        out = coded = words = flat = id_lists = decoded = None
         for b in batches:
             words = b.column(n_keep)
             if isinstance(words, pa.ChunkedArray):
@@ -197,6 +200,9 @@ def encode_documents(
                 sha = lambda a: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in a], pa.string())
                 out += [sha(joined), sha(decoded)]
             yield pa.RecordBatch.from_arrays(out, names_)
+        rare.clear()
+        del out, coded, words, flat, id_lists, decoded
+        pa.default_memory_pool().release_unused()  # idle workers give back what they held
 
     names_ = [*keep, "n_tokens"] + ["ids"] * with_ids + ["decoded"] * with_text + ["ids_sha256", "decoded_sha256"] * with_digests
     split = source.select(*[f"_k{i}" for i in range(n_keep)], words_column(F.col("_t")).alias("_w"))
