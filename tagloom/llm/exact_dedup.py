@@ -247,7 +247,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     kinds = stored(
         all_runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("w")), "dedup-kinds"
     )
-    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    # Where every kind of run has copies, all windows are known to repeat.
+    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("alone"))
+    shared = shared.filter("kinds > 1 AND alone > 0")
     shared = shared.select(F.col("anchor").alias("_a"), F.ceil(F.col("kinds") / runs).cast("int").alias("chunks"))
     wanted = kinds.join(shared, F.col("anchor") == F.col("_a")).select(
         F.col("w.th").alias("_th"), F.col("w.size").alias("_size"),
