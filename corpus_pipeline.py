@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import bpe, common, decontaminate, secrets, simhash, toxicity
+from tagloom.llm import bpe, common, decontaminate, near_dedup, secrets, toxicity
 
 #: A document of which more than this share of words is benchmark text goes whole.
 MAX_COVERAGE = 0.5
@@ -22,8 +22,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each SimHash component."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the smallest doc_id, of each component of texts whose
+    five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_dedup.drop_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
