@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
 Three patterns give base spans. Beyond them, every long token that stands in a
-sensitive context (a word such as ``key`` or ``auth`` shortly before it) is a
-candidate: its novelty is its marginal compressed size, that is zstandard's
+sensitive context (a word such as ``key`` or ``auth`` shortly before it, or in its
+name where it is a value after ``=``) is a candidate: its novelty is its marginal compressed size, that is zstandard's
 output for surrounding text plus candidate, less that for the surrounding text
 alone, both primed with a dictionary of identifiers, per candidate byte. What
 the surroundings and the dictionary can't predict is reported as ``novel``.
@@ -28,7 +28,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
 SENSITIVE = re.compile(
     r"pass|secret|token|key|auth|bearer|credential|private|signature|pwd|cert|session", re.I | re.A
 )
-BEFORE, AFTER = 48, 256
+_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+BEFORE, AFTER, MIN_LENGTH = 48, 256, 16
 MIN_NOVELTY = 0.6
 #: Common identifiers, which prime the compressor.
 IDENTIFIERS = """
@@ -88,20 +89,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _values(candidate: str):
+    """Where a candidate's value may start: after its last inner '=', after each one before, at 0."""
+    at = candidate.rstrip("=").rfind("=")
+    while at >= 0:
+        yield at + 1
+        at = candidate.rfind("=", 0, at)
+    yield 0
+
+
+def _joined_from(text: str, a: int, least: int) -> int:
+    """The start of the parts joined by single '.' of which one starts at ``a``; not before ``least``."""
+    while a > least and (text[a - 1] in _PART or text[a - 1] == "." and a > 1 and text[a - 2] in _PART):
+        a -= 1
+    return a
+
+
 def novel_spans(text: str, known, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
-    """Spans of incompressible strings in sensitive context, none inside ``known``."""
+    """Spans of incompressible strings in sensitive context, none inside ``known``.
+
+    Of name=value only the value is judged and reported, and the name is context;
+    where no value passes, the whole is. Parts joined by '.' share the context of the first.
+    """
     out = []
+    first, last = 0, 0  # of the joined parts so far: start, end
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        s = m.group()
-        if not any("0" <= c <= "9" for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if any(x < b and a < y for x, _, y in known):
+        start = _joined_from(text, a, last)
+        first, last = (first if start == last and a > last and last else start), b
+        word = SENSITIVE.search(text, max(0, first - BEFORE), b)
+        if not word:
             continue
-        if SENSITIVE.search(text, max(0, a - BEFORE), a):
-            around = text[max(0, a - AFTER) : a] + " " + text[b : b + AFTER]
+        for v in (a + k for k in _values(m.group())):
+            s = text[v:b]
+            if v < word.end() or b - v < MIN_LENGTH:
+                continue
+            if not any("0" <= c <= "9" for c in s) or not any(c.isalpha() for c in s):
+                continue
+            if any(x < b and v < y for x, _, y in known):
+                continue
+            around = text[max(0, v - AFTER) : v] + " " + text[b : b + AFTER]
             if novelty(around, s) >= min_novelty:
-                out.append((a, 3, b))
+                out.append((v, 3, b))
+                break
     return out
 
 
