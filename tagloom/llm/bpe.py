@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, small_batches, table
+from .common import process_cache, sliced, table
 
 #: The split pattern of the byte-level pre-tokenizer.
 SPLIT_PATTERN = (
@@ -106,7 +106,7 @@ def encode_table(words: DataFrame, path: str) -> DataFrame:
     """Encode each row of a distinct-word table once: word, ids."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             w = b.column("word")
             ids = _encode_words(path, w.to_pylist())
             yield pa.RecordBatch.from_arrays([w, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
@@ -133,7 +133,6 @@ def encode_documents(
     repeated. Extra columns are ignored, even of clashing names.
     """
     spark = docs.sparkSession
-    small_batches(spark, BATCH)
     path = tokenizer_path or default_tokenizer_path()
     source = docs.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)],
@@ -155,7 +154,7 @@ def encode_documents(
     def run(batches):
         known, rare, pieces = shared.value, {}, _pieces(path)
         out = coded = words = flat = id_lists = decoded = None
-        for b in batches:
+        for b in sliced(batches):
             words = b.column(n_keep)
             if isinstance(words, pa.ChunkedArray):
                 words = words.combine_chunks()

@@ -1,34 +1,43 @@
-"""What the training-data operators share: tables, shared storage, caches."""
+"""What the training-data operators share: tables, shared storage, batches, caches."""
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts may be long, so fewer than Spark's default.
-BATCH_ROWS = 512
+#: Rows and bytes that an operator works on at once; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound an Arrow batch by rows, so that a Python worker's memory is bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
+    """Arrow batches of at most ``rows`` rows and about ``most`` bytes (a longer row alone).
+
+    The bound holds inside the operator, whatever the session says when it runs.
+    """
+    for b in batches:
+        step = max(1, min(rows, rows if not b.num_rows else int(rows * most // max(most, b.nbytes * rows // b.num_rows))))
+        for at in range(0, b.num_rows, step):
+            yield b if step >= b.num_rows else b.slice(at, step)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Without it only a local session can go on, in a folder under its warehouse.
+    """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc._conf.get("spark.checkpoint.dir")
+    path = sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = process_cache("shared_dir", lambda: tempfile.mkdtemp(prefix="tagloom-"))
-        sc._conf.set("spark.checkpoint.dir", path)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/tagloom-shared"
     return path.rstrip("/")
 
 
@@ -37,7 +46,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tagloom_path = path
+    return out
+
+
+def drop_stored(*frames: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_tagloom_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh_names(taken: Iterable[str], wanted: Iterable[str]) -> dict[str, str]:
+    """wanted -> a name that no column of ``taken`` has: underscores are put before it."""
+    used, out = {c.lower() for c in taken}, {}
+    for name in wanted:
+        new = name
+        while new.lower() in used:
+            new = f"_{new}"
+        used.add(new.lower())
+        out[name] = new
+    return out
 
 
 def process_cache(key, make):
@@ -58,13 +91,3 @@ def held_out_column(doc_id="doc_id"):
 def is_training(doc_id="doc_id"):
     """Rows that a model may learn from; a null id is never one of them."""
     return F.coalesce(~held_out_column(doc_id), F.lit(False))
-
-
-def with_columns_of(df: DataFrame, names) -> list[str]:
-    """Those of ``names`` that ``df`` has, in the order given."""
-    have = set(df.columns)
-    return [n for n in names if n in have]
-
-
-def env_flag(name: str) -> bool:
-    return os.environ.get(name, "") not in ("", "0")

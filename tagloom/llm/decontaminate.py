@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -170,7 +170,7 @@ def _scan(docs: DataFrame, text: str, automaton, columns) -> DataFrame:
         a = shared.value
         get = a.vocabulary.get
         names = None
-        for b in batches:
+        for b in sliced(batches):
             n_words, runs, items = [], [], []
             for t in b.column("_text").to_pylist():
                 ids = list(map(get, normalised_words(t)))
@@ -209,7 +209,6 @@ def scan_documents(
     have no windows; with no items nothing is hit. Repeated items count once per
     item id, repeated documents are judged each. Extra columns are ignored.
     """
-    small_batches(docs.sparkSession)
     out = None
     for block in _blocks(benchmark, item, item_text, block_words):
         automaton = Automaton(block, window)
@@ -262,7 +261,7 @@ def remove_spans(
     schema = docs.select(*keep, F.col(text).cast("string").alias(text)).schema
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts, runs = b.column("_text").to_pylist(), b.column("runs").to_pylist()
             for i, rs in enumerate(runs):
                 rs = [r for r in rs or [] if r["b"] - r["a"] > max_span]

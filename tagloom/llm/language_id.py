@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out_column, is_training, process_cache, small_batches, table
+from .common import held_out_column, is_training, process_cache, sliced, table
 
 SAMPLE_DOCS = 200
 DICT_BYTES = 48_000
@@ -126,7 +126,6 @@ def identify(
     dictionary every row is ``und``. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(dictionaries)
     schema = (
         ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -135,7 +134,7 @@ def identify(
 
     def run(batches):
         z = _compressors(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             got = [classify(t, z) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

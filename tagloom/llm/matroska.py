@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 PACKET = 576
 PER_BLOCK, PER_CLUSTER = 8, 16
@@ -275,11 +275,10 @@ def store_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     Null texts count as empty; an empty text is one packet of padding. One row
     per row of ``docs``; equal texts give equal files. Extra columns are ignored.
     """
-    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", n_bytes bigint, media binary"
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             made = [payload_of(t) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -298,7 +297,6 @@ def packet_table(media: DataFrame, column: str = "media", keep: tuple[str, ...]
 
     Null and empty media, and media that are no Matroska, have no packets.
     """
-    small_batches(media.sparkSession)
     schema = (
         ", ".join(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keep)
         + ", track int, time_ms bigint, offset bigint, size bigint, keyframe boolean, lace int"
@@ -307,7 +305,7 @@ def packet_table(media: DataFrame, column: str = "media", keep: tuple[str, ...]
     names = [*keep, "track", "time_ms", "offset", "size", "keyframe", "lace"]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [parse_media(m)["packets"] if m else [] for m in b.column(len(keep)).to_pylist()]
             at = pa.array([i for i, r in enumerate(rows) for _ in r], pa.int64())
             flat = [p for r in rows for p in r]
@@ -321,7 +319,6 @@ def packet_table(media: DataFrame, column: str = "media", keep: tuple[str, ...]
 
 def media_features(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """``keep`` and what the stored bytes hold, read back through the packet table."""
-    small_batches(media.sparkSession)
     schema = (
         ", ".join(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keep)
         + ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -330,7 +327,7 @@ def media_features(media: DataFrame, column: str = "media", keep: tuple[str, ...
     names = [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for m in b.column(len(keep)).to_pylist():
                 m = m or b""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import drop_stored, sliced, stored
 from .components import connected_components
 from .simhash import _LOWER, _forest
 
@@ -133,7 +133,6 @@ def similar_documents(
     texts without words are one component. ``component`` is a name, not an id.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
@@ -141,7 +140,7 @@ def similar_documents(
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in sliced(batches):
             found = [shingles(t) for t in b.column("text").to_pylist()]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
             keys = pa.array([bands(s) for s in found], pa.list_(pa.int64()))
@@ -150,7 +149,6 @@ def similar_documents(
     marked = stored(rows.mapInArrow(run, f"id {kind}, th bigint, sid bigint, keys array<bigint>"), "near-docs")
     sets = marked.groupBy("sid").agg(F.first("keys").alias("keys"), F.min(F.struct("id", "th")).alias("at"))
     sets = stored(sets, "near-sets")
-    small_batches(spark, 20_000)
     cells = sets.select("sid", F.explode("keys").alias("cell"))
     edges = stored(_candidate_edges(cells), "near-candidates")
     roots = stored(connected_components(edges, "near-candidate-components"), "near-roots")
@@ -170,10 +168,8 @@ def similar_documents(
     where = sets.join(members.select(F.col("u").alias("sid")), "sid").select("sid", F.col("at.id").alias("_id"), F.col("at.th").alias("_th"))
     texts = rows.join(where, rows["id"].eqNullSafe(where["_id"]) & (rows["th"] == where["_th"])).select("sid", "text")
     texts = texts.dropDuplicates(["sid"])
-    small_batches(spark)
     links = stored(_verified_edges(dealt.join(texts, "sid"), similarity), "near-links")
     components = connected_components(links, "near-components").select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    small_batches(spark)
     found = marked.drop("keys").join(components, F.col("sid") == F.col("_u"), "left")
     return found.select("id", "th", F.coalesce("_v", "sid").alias("component"))
 

@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import process_cache, small_batches, table
+from .common import process_cache, sliced, table
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -151,13 +151,12 @@ def find_secrets(
     Positions are code points, ends exclusive. One row per row of ``docs``; null
     and empty texts have no secrets. Extra columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kinds = {k: docs.schema[k].dataType.simpleString() for k in keep}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", secrets array<struct<kind:string,start:int,end:int,value:string>>"
     element = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = []
             for t in b.column("_text").to_pylist():
                 found.append(
@@ -175,12 +174,11 @@ def redact_secrets(docs: DataFrame, text: str = "text", min_novelty: float = MIN
 
     Overlapping spans become one, named for the first. Nulls stay null.
     """
-    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(at).to_pylist():
                 spans = all_spans(t, min_novelty)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import sliced, stored, table
 from .components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -55,11 +55,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """``keep`` and fp, the fingerprint as a (signed) bigint; a row for each row of ``docs``."""
-    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + ", fp bigint"
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t, **options) for t in b.column(len(keep)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fps.view(np.int64))], [*keep, "fp"])
 
@@ -162,20 +161,20 @@ def link_edges(fps: DataFrame, bits: int = BITS, cell_size: int = CELL) -> DataF
     dealt = dealt.select("fp", F.explode(F.coalesce(others, F.array("cell"))).alias("cell"))
 
     def run(batches):
-        held_cell, held_fp = np.array([], np.int64), np.array([], np.int64)
+        cells_, fps_, n_held = [], [], 0
         for b in batches:
-            cell = np.concatenate([held_cell, b.column("cell").to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held_fp, b.column("fp").to_numpy(zero_copy_only=False)])
-            if len(cell) < 1 << 17:
-                held_cell, held_fp = cell, fp
-                continue
-            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
-            u, v = links_in_cells(cell[:cut], fp[:cut], bits)
-            held_cell, held_fp = cell[cut:], fp[cut:]
-            if len(u):
-                yield _edge_batch(u, v)
-        u, v = links_in_cells(held_cell, held_fp, bits)
-        yield _edge_batch(u, v)
+            cells_.append(b.column("cell").to_numpy(zero_copy_only=False))
+            fps_.append(b.column("fp").to_numpy(zero_copy_only=False))
+            n_held += b.num_rows
+            if n_held >= 1 << 17:
+                cell, fp = np.concatenate(cells_), np.concatenate(fps_)
+                cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+                u, v = links_in_cells(cell[:cut], fp[:cut], bits)
+                cells_, fps_, n_held = [cell[cut:]], [fp[cut:]], len(cell) - cut
+                if len(u):
+                    yield _edge_batch(u, v)
+        if cells_:
+            yield _edge_batch(*links_in_cells(np.concatenate(cells_), np.concatenate(fps_), bits))
 
     def _edge_batch(u, v):
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
@@ -198,14 +197,11 @@ def near_duplicates(
     null ids never are component ids unless nothing else is there. Extra columns
     are ignored; empty tables give no rows.
     """
-    spark = docs.sparkSession
     columns = tuple(dict.fromkeys([doc_id, *keep]))
     marked = stored(fingerprints(docs, text, columns), "simhash-docs")
     distinct = stored(marked.groupBy("fp").agg(F.min(doc_id).alias("lowest")), "simhash-distinct")
-    small_batches(spark, 20_000)
     edges = stored(link_edges(distinct.select("fp"), bits), "simhash-edges")
     roots = connected_components(edges, "simhash-components")
-    small_batches(spark)
     rooted = distinct.join(roots.withColumnRenamed("v", "_root"), distinct["fp"] == roots["u"], "left").select(
         "fp", "lowest", F.coalesce("_root", "fp").alias("_root")
     )

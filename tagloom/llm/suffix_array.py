@@ -99,16 +99,40 @@ def adjacent_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     return out
 
 
-def repeated_starts(data: bytes, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the start positions ``valid`` (each with ``length`` bytes to go), whether the
+def _window_hashes(t: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` units from each position of ``at``."""
+    powers, out, done = _powers(t, length), np.zeros(len(at), np.uint64), 0
+    with np.errstate(over="ignore"):
+        for size in sorted(powers, reverse=True):
+            while done + size <= length:
+                out = out * np.uint64(0x9E3779B97F4A7C15) + powers[size][at + done]
+                out ^= out >> np.uint64(32)
+                done += size
+    return out
+
+
+def repeated_starts(t: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the start positions ``valid`` (each with ``length`` units to go), whether the
     string of that length also starts at another of them; and for each a number that
-    equal strings share. Adjacent common prefixes decide, bytes confirm."""
-    t = np.frombuffer(data, np.uint8)
-    sa = suffix_array(data, length)
+    equal strings share. Adjacent common prefixes decide, the units confirm. Wider
+    units are sorted by their lowest byte; strings that only differ above it are
+    then told apart by a hash."""
+    low = t if t.dtype == np.uint8 else (t & 0xFF).astype(np.uint8)
+    sa = suffix_array(low.tobytes(), length)
     is_valid = np.zeros(len(t), bool)
     is_valid[valid] = True
     sa = sa[is_valid[sa]]
-    same = adjacent_common_prefixes(t, sa, length) >= length
+    same = adjacent_common_prefixes(low, sa, length) >= length
+    if t.dtype != np.uint8:
+        alike = same.copy()
+        alike[:-1] |= same[1:]
+        at = np.flatnonzero(alike)
+        h = _window_hashes(t, sa[at], length)
+        order = np.lexsort((h, np.cumsum(~same)[at]))
+        sa[at], h = sa[at][order], h[order]
+        whole = np.zeros(len(sa), np.uint64)
+        whole[at] = h
+        same[1:] &= whole[1:] == whole[:-1]
     for at in np.array_split(np.flatnonzero(same), max(1, int(same.sum()) * length // (1 << 24))):
         spread = np.arange(length)
         equal = (t[sa[at][:, None] + spread] == t[sa[at - 1][:, None] + spread]).all(axis=1)

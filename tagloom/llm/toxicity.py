@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out_column, is_training, small_batches, table
+from .common import held_out_column, is_training, sliced, table
 
 MAX_POS, MAX_NEG = 2500, 5000
 MAX_PATTERNS = 4000
@@ -134,7 +134,6 @@ def fit(
 ) -> Model:
     """Learn lexicon and weights from training rows that have a label of 0 or 1."""
     seeds = {f" {w}": 3.0 for w in SEED_WORDS}
-    small_batches(docs.sparkSession)
     marks = (
         labels.select(F.col(doc_id).alias("_i"), F.col(label).cast("int").alias("_y"))
         .filter(is_training("_i") & F.col("_y").isin(0, 1))
@@ -154,7 +153,7 @@ def fit(
     sample = sample.withColumn("_fold", F.pmod(F.xxhash64("_i", F.lit("fold")), F.lit(5)) < 3)
 
     def prefixes(batches):
-        for b in batches:
+        for b in sliced(batches):
             counts: dict[str, list[int]] = {}
             for t, y in zip(b.column("_t").to_pylist(), b.column("_y").to_pylist(), strict=True):
                 found = set()
@@ -196,7 +195,7 @@ def fit(
 
     def measure(batches):
         m = _matcher(lexicon, EXCEPTIONS)
-        for b in batches:
+        for b in sliced(batches):
             rows = [features(t, m) for t in b.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_y"), pa.array(rows, pa.list_(pa.float64()))], ["y", "f"])
 
@@ -241,14 +240,13 @@ def score_documents(
     matches. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most max_patterns patterns
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + f", `{column}` double"
 
     def run(batches):
         m = shared.value
         matcher = _matcher(m.lexicon, EXCEPTIONS)
-        for b in batches:
+        for b in sliced(batches):
             got = [_probability(features(t, matcher), m.weights) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, column])
 

@@ -234,12 +234,36 @@ def test_exact_dedup_equals_brute_force(spark):
         cut = rng.randint(0, len(b))
         texts.append([b, b[:cut] + "z" + b[cut + 1 :], some(9) + shared + some(9), "ab" * rng.randint(0, 50)][i % 4])
     texts += ["", None, "a", "same" * 20, "same" * 20]
-    want = brute(texts, 40)
+    want = [(*b, w) for b, w in zip(brute(texts, 40), repeated_words(texts, 7))]
     for runs in (1024, 3):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_dedup.remove_repeated(docs(spark, texts), length=40, gram=8, runs=runs).collect()}
+        out = exact_dedup.remove_repeated(docs(spark, texts), length=40, gram=8, passage=7, passage_gram=2, runs=runs)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in out.collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 
+def repeated_words(texts, length):
+    from collections import Counter
+
+    words = [(t or "").encode().lower().split() for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    hit = [{j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(i, i + length)} for w in words]
+    return [len(h) for h in hit]
+
+
+def test_exact_dedup_at_the_contracts_length(spark, monkeypatch):
+    """400 bytes and 51 words, with long texts cut into segments."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, brief = some(90), some(53)
+    texts = [some(60) + " " + (shared, brief)[i % 2] + " " + some(60) for i in range(6)] + [some(3000) + " " + shared, some(3000), shared]
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 700)
+    out = exact_dedup.remove_repeated(docs(spark, texts))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == [(*b, w) for b, w in zip(brute(texts, 400), repeated_words(texts, 51))]
+    assert got[1][1] == 0 and got[1][4] >= 53  # under 400 bytes, over 50 words
+
+
 def test_warc_rejects_magic_inside_payloads(spark, tmp_path):
     trap = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 3
     long = trap + "p" * 1200
