@@ -8,23 +8,25 @@ item of fewer words. Spans that exceed the length or coverage limits can be
 removed from the text.
 
 The items are read in blocks of at most ``block_words`` words, so that the
-automaton that is broadcast has a proven bound; each further block takes one
-more pass over the documents, and the spans of all blocks are merged.
+automaton that is broadcast has a proven bound: it is flat arrays of at most two
+states a word. Each further block takes one more pass over the documents, written
+to the shared folder before the next, so a task never holds two automata; the
+spans of all blocks are merged.
 """
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import sliced, stored, table
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: The bytes that are not part of a word, and A-Z folded to a-z.
 _NOT_WORD = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 _FOLD = bytes(
@@ -39,108 +41,148 @@ def normalised_words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton of the items of one block, over word ids."""
+    """Generalised suffix automaton of the items of one block, over word ids.
+
+    Most states have one edge, kept in two arrays; only the others have a dict while
+    the automaton grows. ``flat`` is what is shipped: plain arrays.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
         self.link, self.length = array("i", [-1]), array("i", [0])
-        words_of = []
+        self.names: list[str] = []
+        ids = []
         for name, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in normalised_words(text)]
+            words = array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in normalised_words(text)])
             if words:
-                words_of.append((name, words))
+                self.names.append(name)
+                ids.append(words)
                 last = 0
                 for w in words:
                     last = self._extend(last, w)
-        #: state -> {(length, item)}: windows of that length that this state holds.
-        self.windows: dict[int, set[tuple[int, str]]] = {}
-        for name, words in words_of:
-            self._mark(name, words)
-        self.shortest = min((min(window, len(w)) for _, w in words_of), default=window)
-        #: The nearest state on the link path, itself included, that holds a window.
-        self.above = array("i", [-1]) * len(self.length)
-        for s in sorted(range(len(self.length)), key=self.length.__getitem__):
-            up = self.link[s]
-            self.above[s] = s if s in self.windows else self.above[up] if up >= 0 else -1
+        #: (state, item, length): windows of that length that this state holds.
+        self.marks: set[tuple[int, int, int]] = set()
+        for k, words in enumerate(ids):
+            self._mark(k, words, min(window, len(words)))
+        self.shortest = min((min(window, len(w)) for w in ids), default=window)
+
+    def _get(self, s: int, w: int) -> int:
+        if self.word[s] == w:
+            return self.to[s]
+        edges = self.more.get(s)
+        return edges.get(w, -1) if edges else -1
+
+    def _set(self, s: int, w: int, t: int) -> None:
+        if self.word[s] in (-1, w):
+            self.word[s], self.to[s] = w, t
+        else:
+            self.more.setdefault(s, {})[w] = t
+
+    def _state(self, length: int, link: int) -> int:
+        for a, x in ((self.word, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            a.append(x)
+        return len(self.link) - 1
 
     def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._clone(last, w, q)
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        q = self._get(last, w)
+        if q >= 0:
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, w, q)
+        cur = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
+        while p >= 0 and (q := self._get(p, w)) < 0:
+            self._set(p, w, cur)
+            p = self.link[p]
         if p >= 0:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
+            self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
         return cur
 
     def _clone(self, p: int, w: int, q: int) -> int:
-        nxt, link = self.next, self.link
-        copy = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        self.length.append(self.length[p] + 1)
-        link[q] = copy
-        while p >= 0 and nxt[p].get(w) == q:
-            nxt[p][w] = copy
-            p = link[p]
+        copy = self._state(self.length[p] + 1, self.link[q])
+        self.word[copy], self.to[copy] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
+        self.link[q] = copy
+        while p >= 0 and self._get(p, w) == q:
+            self._set(p, w, copy)
+            p = self.link[p]
         return copy
 
-    def _mark(self, name: str, words: list[int]) -> None:
-        size = min(self.window, len(words))
+    def _mark(self, item: int, words: array, size: int) -> None:
         state = matched = 0
         for w in words:
-            state = self.next[state][w]
+            state = self._get(state, w)
             matched += 1
             while self.length[self.link[state]] >= size:
                 state = self.link[state]
             if (matched := min(matched, self.length[state])) >= size:
-                self.windows.setdefault(state, set()).add((size, name))
-
-    def stream(self, ids: list[int | None]):
-        """Hit runs [(first, end)] of word positions, and the items whose windows occur."""
-        nxt, link, length, above, windows = self.next, self.link, self.length, self.above, self.windows
-        items: set[str] = set()
-        runs: list[list[int]] = []
-        state = matched = 0
-        for i, w in enumerate(ids):
-            if w is None:
-                state = matched = 0
-                continue
-            while state and w not in nxt[state]:
-                state = link[state]
-                matched = length[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
-                matched += 1
+                self.marks.add((state, item, size))
+
+    def flat(self) -> tuple:
+        """(vocabulary, names, shortest, word, to, link, length, above, keys, targets, first mark, marks)
+        as plain Python objects: an edge beyond a state's first is at ``keys`` = state << 32 | word;
+        ``above`` is the nearest state on the link path, itself included, that holds a window."""
+        edges = sorted((s << 32 | w, t) for s, e in self.more.items() for w, t in e.items())
+        marks = sorted(self.marks)
+        first = array("i", [0]) * (len(self.link) + 1)
+        for s, _, _ in marks:
+            first[s + 1] += 1
+        for s in range(len(self.link)):
+            first[s + 1] += first[s]
+        above = array("i", [-1]) * len(self.link)
+        for s in sorted(range(len(self.link)), key=self.length.__getitem__):
+            up = self.link[s]
+            above[s] = s if first[s + 1] > first[s] else above[up] if up >= 0 else -1
+        held = array("i", [x for _, item, size in marks for x in (item, size)])
+        return (
+            self.vocabulary, self.names, self.shortest, self.word, self.to, self.link, self.length, above,
+            array("q", [k for k, _ in edges]), array("i", [t for _, t in edges]), first, held,
+        )
+
+
+def stream(flat: tuple, ids: list[int | None]):
+    """Hit runs [(first, end)] of word positions, and the items whose windows occur."""
+    _, names, shortest, word, to, link, length, above, keys, targets, first, held = flat
+    items: set[str] = set()
+    runs: list[list[int]] = []
+    state = matched = 0
+    n = len(keys)
+    for i, w in enumerate(ids):
+        if w is None:
+            state = matched = 0
+            continue
+        while True:
+            if word[state] == w:
+                t = to[state]
             else:
-                matched = 0
-                continue
-            at = above[state] if matched >= self.shortest else -1
-            longest = 0
-            while at >= 0:
-                for size, name in windows[at]:
-                    if size <= matched:
-                        items.add(name)
-                        if size > longest:
-                            longest = size
-                at = link[at]
-                at = above[at] if at >= 0 else -1
-            if longest:
-                first = i - longest + 1
-                while runs and runs[-1][1] >= first:
-                    first = min(first, runs.pop()[0])
-                runs.append([first, i + 1])
-        return runs, items
+                key = state << 32 | w
+                at = bisect_left(keys, key)
+                t = targets[at] if at < n and keys[at] == key else -1
+            if t >= 0 or not state:
+                break
+            state = link[state]
+            matched = length[state]
+        if t < 0:
+            matched = 0
+            continue
+        state = t
+        matched += 1
+        at = above[state] if matched >= shortest else -1
+        longest = 0
+        while at >= 0:
+            for k in range(2 * first[at], 2 * first[at + 1], 2):
+                if held[k + 1] <= matched:
+                    items.add(names[held[k]])
+                    longest = max(longest, held[k + 1])
+            at = link[at]
+            at = above[at] if at >= 0 else -1
+        if longest:
+            begin = i - longest + 1
+            while runs and runs[-1][1] >= begin:
+                begin = min(begin, runs.pop()[0])
+            runs.append([begin, i + 1])
+    return runs, items
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
@@ -157,40 +199,53 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
     yield block
 
 
-def _scan(docs: DataFrame, text: str, automaton, columns) -> DataFrame:
-    """``docs`` and n_words, runs (hit word ranges), items; ``columns`` are those kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    source = docs.select(*columns, F.col(text).cast("string").alias("_text"))
-    schema = (
-        ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-        + ", _text string, n_words bigint, runs array<struct<a:int,b:int>>, items array<string>"
-    )
+_FOUND = "n_words bigint, runs array<struct<a:int,b:int>>, items array<string>"
+
+
+def _scan(docs: DataFrame, flat: tuple) -> DataFrame:
+    """``docs`` (columns k0, ..., t) and n_words, runs (hit word ranges), items."""
+    shared = docs.sparkSession.sparkContext.broadcast(flat)  # arrays of at most 2 * block_words states
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {_FOUND}"
 
     def run(batches):
-        a = shared.value
-        get = a.vocabulary.get
-        names = None
+        flat = shared.value
+        get, shortest = flat[0].get, flat[2]
         for b in sliced(batches):
             n_words, runs, items = [], [], []
-            for t in b.column("_text").to_pylist():
+            for t in b.column("t").to_pylist():
                 ids = list(map(get, normalised_words(t)))
                 n_words.append(len(ids))
                 known = len(ids) - ids.count(None)
-                r, found = a.stream(ids) if known >= a.shortest else ([], set())
+                r, found = stream(flat, ids) if known >= shortest else ([], set())
                 runs.append([{"a": x, "b": y} for x, y in r])
                 items.append(sorted(found))
-            names = [*b.schema.names, "n_words", "runs", "items"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *b.columns,
-                    pa.array(n_words, pa.int64()),
-                    pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                names,
-            )
+            made = [
+                pa.array(n_words, pa.int64()),
+                pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                pa.array(items, pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "n_words", "runs", "items"])
 
-    return source.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, keep, window: int, block_words: int) -> DataFrame:
+    """k0, k1, ... (the columns ``keep``), t (the text), n_words, runs, items."""
+    names = [f"k{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").cast("string").alias("t"))
+    out = None
+    for block in _blocks(benchmark, item, item_text, block_words):
+        flat = Automaton(block, window).flat()
+        if out is None:
+            out = _scan(source, flat)
+        else:  # one more pass, over what the former blocks found
+            before = stored(out.withColumnsRenamed({"runs": "k_runs", "items": "k_items"}).drop("n_words"), "leaks")
+            out = _scan(before, flat).select(
+                *names, "t", "n_words",
+                _merged(F.concat("k_runs", "runs")).alias("runs"),
+                F.array_sort(F.array_union("k_items", "items")).alias("items"),
+            )
+    return out
 
 
 def scan_documents(
@@ -203,26 +258,16 @@ def scan_documents(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``keep``, _text, n_words, runs array<struct<a,b>> of hit words, items array<string>.
+    """``keep``, n_words, runs array<struct<a,b>> of hit words, items array<string>.
 
     One row per row of ``docs``. Null texts have no words; items without words
-    have no windows; with no items nothing is hit. Repeated items count once per
-    item id, repeated documents are judged each. Extra columns are ignored.
+    have no windows; with no items nothing is hit. Texts of any length stream through
+    in one go. Repeated items count once per item id, repeated documents are judged
+    each; ties don't arise. Other columns are ignored, whatever their names. Spark jobs
+    read the items while this is built, and scan the documents where there are several blocks.
     """
-    out = None
-    for block in _blocks(benchmark, item, item_text, block_words):
-        automaton = Automaton(block, window)
-        if out is None:
-            out = _scan(docs, text, automaton, list(keep))
-        else:  # one more pass, over what the former blocks found
-            old = out.withColumnsRenamed({"runs": "_runs", "items": "_items", "n_words": "_n", "_text": "_old"})
-            new = _scan(old, "_old", automaton, [*keep, "_runs", "_items"])
-            out = new.select(
-                *keep, "_text", "n_words",
-                _merged(F.concat("_runs", "runs")).alias("runs"),
-                F.array_sort(F.array_union("_items", "items")).alias("items"),
-            )
-    return out
+    found = _found(docs, benchmark, text, item, item_text, keep, window, block_words)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "runs", "items")
 
 
 def _merged(runs):
@@ -240,29 +285,27 @@ def _merged(runs):
 
 
 def remove_spans(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text: str = "text",
-    max_span: int = 0,
-    max_coverage: float = 1.0,
-    **options,
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", max_span: int = 0, max_coverage: float = 1.0,
+    item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` without benchmark passages.
 
     Hit runs of more than ``max_span`` words are cut from the text (from the
     first byte of their first word to the last of their last). A document whose
     hit words are more than ``max_coverage`` of its words is dropped whole.
-    Texts without hits, nulls among them, stay as they are. All columns stay.
+    Texts without hits, nulls and empty ones among them, stay as they are; so do
+    repeated rows, each judged alone. All columns stay, whatever their names. Empty
+    tables give no rows.
     """
     keep = [c for c in docs.columns if c != text]
-    found = scan_documents(docs, benchmark, text=text, keep=tuple(keep), **options)
+    names = [f"k{i}" for i in range(len(keep))]
+    found = _found(docs, benchmark, text, item, item_text, keep, window, block_words)
     hit = F.aggregate("runs", F.lit(0), lambda s, r: s + r["b"] - r["a"])
     kept = found.filter((F.col("n_words") == 0) | (hit <= F.lit(max_coverage) * F.col("n_words")))
-    schema = docs.select(*keep, F.col(text).cast("string").alias(text)).schema
 
     def cut(batches):
         for b in sliced(batches):
-            texts, runs = b.column("_text").to_pylist(), b.column("runs").to_pylist()
+            texts, runs = b.column("t").to_pylist(), b.column("runs").to_pylist()
             for i, rs in enumerate(runs):
                 rs = [r for r in rs or [] if r["b"] - r["a"] > max_span]
                 if rs:
@@ -273,9 +316,12 @@ def remove_spans(
                         parts.append(raw[last : at[r["a"]][0]])
                         last = at[r["b"] - 1][1]
                     texts[i] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, text])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string())], [*names, "t"])
 
-    return kept.select(*keep, "_text", "runs").mapInArrow(cut, schema).select(*docs.columns)
+    rows = kept.select(*names, "t", "runs")
+    out = rows.mapInArrow(cut, rows.drop("runs").schema)
+    back = dict(zip(keep, names)) | {text: "t"}
+    return out.select(*[F.col(back[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

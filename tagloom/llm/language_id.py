@@ -9,15 +9,18 @@ shorter chunks and a higher level decides. Where that margin is narrow too, the
 answer is rejected (``rejected``; the score is then low); the best guess is still
 given. Chunking keeps the dictionary in reach however long the text is.
 
-Dictionaries are fitted on a bounded sample: at most ``sample_docs`` documents a
-language, chosen by a hash of the id, and ``dict_bytes`` bytes of their text.
+Dictionaries are fitted on a bounded sample: of at most ``sample_docs`` documents a
+language, chosen by a hash of the id, one piece each, from a hashed place anywhere in
+the text, and ``dict_bytes`` bytes together. Every language value is learned; where
+there are so many that their dictionaries together would pass ``total_bytes``, each
+gets a smaller share.
 """
 from __future__ import annotations
 
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out_column, is_training, process_cache, sliced, table
@@ -27,7 +30,8 @@ DICT_BYTES = 48_000
 #: (level, chunk bytes) of the first pass and of the deciding one.
 PASSES = ((1, 4096), (8, 1024))
 CLOSE = 0.06
-MAX_LANGUAGES = 200
+#: Bytes of all dictionaries together, which are broadcast, and of a piece of a document.
+TOTAL_BYTES, PIECE = 16_000_000, 600
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -46,29 +50,33 @@ def fit_dictionaries(
     doc_id: str = "doc_id",
     sample_docs: int = SAMPLE_DOCS,
     dict_bytes: int = DICT_BYTES,
+    total_bytes: int = TOTAL_BYTES,
 ) -> dict[str, bytes]:
     """language -> dictionary content, from a bounded sample of training rows.
 
     Learns only from rows with an id, a language and a text. The counts choose a
-    sampling rate for each language, so one scan of the texts takes the sample.
+    sampling rate for each language, so one scan of the texts takes the sample; its
+    pieces are grouped by language before they come to the driver. Runs Spark jobs.
     """
     rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
     train = rows.filter(is_training("i") & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = train.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r.l, min(1.0, 2 * sample_docs / r["count"]))])
+    counts = train.groupBy("l").count()
     # A hash in [0, 1) of the id decides, so the sample is the same whatever the partitioning.
-    unit = F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = train.filter(unit < rates[F.col("l")]).select("l", "i", F.substring("t", 1, 4000).alias("t"))
-    parts: dict[str, list[str]] = {r.l: [] for r in counts}
-    for r in picked.orderBy(F.xxhash64("i"), "i", "t").limit(3 * sample_docs * len(counts)).toLocalIterator():
-        if len(parts[r.l]) < sample_docs:
-            parts[r.l].append(r.t)
+    unit = lambda salt: F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    rates = counts.select(F.col("l").alias("_l"), F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("count")).alias("rate"))
+    # A row for each language value, so the texts needn't move.
+    picked = train.filter(F.length("t") > 0).join(F.broadcast(rates), F.col("l") == F.col("_l")).filter(unit("sample") < F.col("rate"))
+    start = (unit("place") * F.greatest(F.length("t") - PIECE, F.lit(0))).cast("int") + 1
+    pieces = picked.select("l", F.struct(F.xxhash64("i").alias("h"), "i", F.expr("t").substr(start, F.lit(PIECE)).alias("t")).alias("p"))
+    ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("p"))).filter(F.col("k") <= sample_docs)
+    parts: dict[str, list[str]] = {}
+    for r in ranked.select("l", "k", "p.t").orderBy("l", "k").toLocalIterator():
+        parts.setdefault(r.l, []).append(r.t)
+    budget = min(dict_bytes, max(256, total_bytes // max(1, len(parts))))
     out = {}
     for name, texts in sorted(parts.items()):
-        share = max(64, dict_bytes // max(1, min(len(texts), sample_docs)))
-        blob = b" ".join(folded(t)[: max(share, 240)] for t in texts)[:dict_bytes]
+        share = max(240, budget // len(texts))
+        blob = b" ".join(folded(t)[:share] for t in texts)[:budget]
         if len(blob) >= 64:
             out[name] = blob
     return out
@@ -122,8 +130,9 @@ def identify(
     """``keep``, lang_pred, score (0 to 1), margin, rejected.
 
     One row per row of ``docs``. Null texts and texts without a letter are
-    ``und`` with score 0; ties go to the language first by name. Without any
-    dictionary every row is ``und``. Extra columns are ignored.
+    ``und`` with score 0; ties go to the language first by name; very long texts are
+    compressed whole, in chunks. Without any dictionary every row is ``und``. Extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out_column, is_training, sliced, table
+from .common import fresh_names, held_out_column, is_training, sliced, stored, table
 
 MAX_POS, MAX_NEG = 2500, 5000
 MAX_PATTERNS = 4000
+#: Beginnings of words of up to so many letters are patterns of their own, besides whole words of any length.
+MAX_PREFIX = 12
 THRESHOLD = 0.3
 #: Words that count without any labels, and phrases that excuse a match.
 SEED_WORDS = ("idiot", "moron", "scum", "stupid", "pathetic", "worthless", "disgusting", "loser", "trash", "clown")
@@ -147,9 +149,9 @@ def fit(
     rate = {0: min(1.0, max_neg / n[0]), 1: min(1.0, max_pos / n[1])}
     keep = F.when(F.col("_y") == 1, unit < rate[1]).otherwise(unit < rate[0])
     picked = marks.filter(keep).orderBy("_i").limit(2 * (max_pos + max_neg))
-    sample = docs.select(F.col(doc_id).alias("_i"), F.col(text).cast("string").alias("_t")).join(
-        F.broadcast(picked), "_i"  # at most 2 * (max_pos + max_neg) ids
-    )
+    # One text for each id, the least: at most 2 * (max_pos + max_neg) ids and rows; written once, then read thrice.
+    sample = docs.select(F.col(doc_id).alias("_i"), F.col(text).cast("string").alias("_t")).join(F.broadcast(picked), "_i")
+    sample = stored(sample.groupBy("_i", "_y").agg(F.min("_t").alias("_t")), "toxicity-sample")
     sample = sample.withColumn("_fold", F.pmod(F.xxhash64("_i", F.lit("fold")), F.lit(5)) < 3)
 
     def prefixes(batches):
@@ -158,8 +160,8 @@ def fit(
             for t, y in zip(b.column("_t").to_pylist(), b.column("_y").to_pylist(), strict=True):
                 found = set()
                 for w in set(folded(t or "").split()):
-                    found.add(f"{w} "[:24])
-                    found.update(w[:k] for k in range(3, min(len(w), 12) + 1))
+                    found.add(f"{w} ")
+                    found.update(w[:k] for k in range(3, len(w) + 1 if len(w) <= MAX_PREFIX else MAX_PREFIX + 1))
                 for p in found:
                     counts.setdefault(p, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays(
@@ -200,7 +202,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([b.column("_y"), pa.array(rows, pa.list_(pa.float64()))], ["y", "f"])
 
     rows = sample.filter("not _fold").select("_t", "_y").mapInArrow(measure, "y int, f array<double>")
-    data = rows.limit(4 * (max_pos + max_neg)).collect()
+    data = rows.collect()  # the sample's rows: as many as picked ids, unless ids repeat
     y = np.array([r.y for r in data], float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, None)
@@ -237,25 +239,29 @@ def score_documents(
     """``keep`` and ``column``, the score (0 to 1) of every whole text.
 
     One row per row of ``docs``. Null and empty texts are scored as texts without
-    matches. Extra columns are ignored.
+    matches; very long ones are folded and matched whole, in linear time. Equal texts
+    have equal scores. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most max_patterns patterns
+    # At most max_patterns patterns, as plain objects: workers need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + f", `{column}` double"
 
     def run(batches):
-        m = shared.value
-        matcher = _matcher(m.lexicon, EXCEPTIONS)
+        lexicon, weights = shared.value
+        matcher = _matcher(lexicon, EXCEPTIONS)
         for b in sliced(batches):
-            got = [_probability(features(t, matcher), m.weights) for t in b.column(len(keep)).to_pylist()]
+            got = [_probability(features(t, matcher), weights) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, column])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_toxicity_text")).mapInArrow(run, schema)
+    last = fresh_names(keep, ["toxicity_text"])["toxicity_text"]
+    return docs.select(*keep, F.col(text).cast("string").alias(last)).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those of a score of ``threshold`` or more; all columns stay."""
-    name = "_toxicity"
+    """``docs`` without those of a score of ``threshold`` or more; all columns stay, whatever
+    their names. Null and empty texts score as texts without matches; repeated rows are
+    judged alike; empty tables give no rows."""
+    name = fresh_names(docs.columns, ["toxicity"])["toxicity"]
     scored = score_documents(docs, model, text, tuple(docs.columns), name)
     return scored.filter(F.col(name) < threshold).drop(name)
 
