@@ -2,19 +2,22 @@
 
 Three patterns give base spans. Beyond them, every long token that stands in a
 sensitive context (a word such as ``key`` or ``auth`` shortly before it, or in its
-name where it is a value after ``=``) is a candidate: its novelty is its marginal compressed size, that is zstandard's
-output for surrounding text plus candidate, less that for the surrounding text
-alone, both primed with a dictionary of identifiers, per candidate byte. What
-the surroundings and the dictionary can't predict is reported as ``novel``.
+name where it is a value after ``=``, or the user part of a URL) is a candidate. Its
+novelty is its marginal compressed size, that is zstandard's output for surrounding
+text plus candidate, less that for the surrounding text alone, both primed with a
+dictionary of identifiers, per candidate byte. What the surroundings and the
+dictionary can't predict is reported as ``novel``. The novelty of base spans is
+measured as well; they stay, whatever it is.
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import process_cache, sliced, table
+from .common import fresh_names, process_cache, sliced, table
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -26,10 +29,10 @@ KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 #: Candidates of the novelty measure, and the words that make a context sensitive.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
 SENSITIVE = re.compile(
-    r"pass|secret|token|key|auth|bearer|credential|private|signature|pwd|cert|session", re.I | re.A
+    r"pass|secret|token|key|auth|bearer|credential|private|signature|pwd|cert|session|://[^\s/:@]{1,64}:", re.I | re.A
 )
 _PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-BEFORE, AFTER, MIN_LENGTH = 48, 256, 16
+BEFORE, AFTER, MIN_LENGTH = 96, 256, 16
 MIN_NOVELTY = 0.6
 #: Common identifiers, which prime the compressor.
 IDENTIFIERS = """
@@ -105,74 +108,104 @@ def _joined_from(text: str, a: int, least: int) -> int:
     return a
 
 
-def novel_spans(text: str, known, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
-    """Spans of incompressible strings in sensitive context, none inside ``known``.
+def _looks_random(s: str) -> bool:
+    """Letters with digits, or letters of which a third or more is of either case, unlike in names."""
+    if any("0" <= c <= "9" for c in s):
+        return any(c.isalpha() for c in s)
+    return 3 * min(sum(map(str.isupper, s)), sum(map(str.islower, s))) >= len(s)
+
+
+def _around(text: str, a: int, b: int) -> str:
+    return text[max(0, a - AFTER) : a] + " " + text[b : b + AFTER]
+
+
+def novel_spans(text: str, known, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, novelty) of incompressible strings in sensitive context, none over a span of ``known``.
 
     Of name=value only the value is judged and reported, and the name is context;
-    where no value passes, the whole is. Parts joined by '.' share the context of the first.
+    where no value passes, the whole is. Parts joined by '.', and lines of candidates
+    one after another (as in PEM blocks), share the context of the first.
     """
     out = []
+    ends = sorted(e for _, _, e in known)
+    low = [0] * (len(ends) + 1)  # the least start of the spans that end there or later
+    low[-1] = len(text) + 1
+    starts = [a for a, _, e in sorted(known, key=lambda x: x[2])]
+    for i in range(len(ends) - 1, -1, -1):
+        low[i] = min(low[i + 1], starts[i])
     first, last = 0, 0  # of the joined parts so far: start, end
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         start = _joined_from(text, a, last)
-        first, last = (first if start == last and a > last and last else start), b
+        joined = start == last and a > last or 0 < last < a and text[last:a].strip("\r\n") == ""
+        first, last = (first if joined and last else start), b
         word = SENSITIVE.search(text, max(0, first - BEFORE), b)
         if not word:
             continue
         for v in (a + k for k in _values(m.group())):
             s = text[v:b]
-            if v < word.end() or b - v < MIN_LENGTH:
-                continue
-            if not any("0" <= c <= "9" for c in s) or not any(c.isalpha() for c in s):
+            if v < word.end() or b - v < MIN_LENGTH or not _looks_random(s):
                 continue
-            if any(x < b and v < y for x, _, y in known):
+            if low[bisect_left(ends, v + 1)] < b:  # a known span that ends after v starts before b
                 continue
-            around = text[max(0, v - AFTER) : v] + " " + text[b : b + AFTER]
-            if novelty(around, s) >= min_novelty:
-                out.append((v, 3, b))
+            n = novelty(_around(text, v, b), s)
+            if n >= min_novelty:
+                out.append((v, 3, b, n))
                 break
     return out
 
 
+def measured_spans(text: str | None, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, novelty) of all spans, by start, then kind."""
+    if not text:
+        return []
+    base = base_spans(text)
+    extra = novel_spans(text, base, min_novelty) if SENSITIVE.search(text) else []
+    return sorted([(a, k, e, novelty(_around(text, a, e), text[a:e])) for a, k, e in base] + extra)
+
+
 def all_spans(text: str | None, min_novelty: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
     if not text:
         return []
     base = base_spans(text)
     extra = novel_spans(text, base, min_novelty) if SENSITIVE.search(text) else []
-    return sorted(base + extra)
+    return sorted(base + [x[:3] for x in extra])
 
 
 def find_secrets(
     docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_novelty: float = MIN_NOVELTY
 ) -> DataFrame:
-    """``keep`` and secrets array<struct<kind,start,end,value>>, by start, then kind.
+    """``keep`` and secrets array<struct<kind,start,end,value,novelty>>, by start, then kind.
 
-    Positions are code points, ends exclusive. One row per row of ``docs``; null
-    and empty texts have no secrets. Extra columns are ignored.
+    Positions are code points, ends exclusive; novelty is in compressed bytes a byte. One
+    row per row of ``docs``; null and empty texts have no secrets; very long texts are
+    searched whole; equal starts go by kind, as KINDS lists them. Empty tables give no
+    rows. Extra columns are ignored.
     """
     kinds = {k: docs.schema[k].dataType.simpleString() for k in keep}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", secrets array<struct<kind:string,start:int,end:int,value:string>>"
-    element = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", secrets array<struct<kind:string,start:int,end:int,value:string,novelty:double>>"
+    element = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("novelty", pa.float64())])
 
     def run(batches):
         for b in sliced(batches):
             found = []
-            for t in b.column("_text").to_pylist():
+            for t in b.column(len(keep)).to_pylist():
                 found.append(
-                    [{"kind": KINDS[k], "start": a, "end": e, "value": t[a:e]} for a, k, e in all_spans(t, min_novelty)]
+                    [{"kind": KINDS[k], "start": a, "end": e, "value": t[a:e], "novelty": n} for a, k, e, n in measured_spans(t, min_novelty)]
                 )
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(keep)], pa.array(found, pa.list_(element))], [*keep, "secrets"]
             )
 
-    return docs.select(*keep, docs[text].cast("string").alias("_text")).mapInArrow(run, schema)
+    last = fresh_names(keep, ["secret_text"])["secret_text"]
+    return docs.select(*keep, docs[text].cast("string").alias(last)).mapInArrow(run, schema)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", min_novelty: float = MIN_NOVELTY, mask: str = "[{kind}]") -> DataFrame:
     """``docs`` with each secret span of the text replaced by its kind in brackets.
 
-    Overlapping spans become one, named for the first. Nulls stay null.
+    Overlapping spans become one, named for the first. Nulls and empty texts stay; repeated
+    rows are treated alike; all columns stay, whatever their names.
     """
     names = docs.columns
     at = names.index(text)
@@ -215,6 +248,9 @@ def _digests(df: DataFrame) -> DataFrame:
         n("hex").alias("n_hex"),
         F.sha2(shown(KINDS[:3]), 256).alias("base_sha256"),
         shown(KINDS).alias("spans"),
+        n("novel").alias("n_novel"),
+        # The measure of each span, in thousandths.
+        F.array_join(F.transform("secrets", lambda s: F.round(s["novelty"] * 1000).cast("int").cast("string")), ",").alias("novelty"),
     )
 
 

@@ -37,3 +37,58 @@ def test_what_is_no_secret_stays():
 def test_redacted(spark):
     frame = spark.createDataFrame([(1, f"x signature={VALUE} y")], "doc_id long, text string")
     assert secrets.redact_secrets(frame).first().text == "x signature=[novel] y"
+
+
+def test_planted_strings_that_no_base_pattern_matches():
+    """Recall over planted secrets, and silence over names, words and paths in the same contexts."""
+    rng = random.Random(3)
+    some = lambda n, alphabet=ALPHABET: "".join(rng.choice(alphabet) for _ in range(n))
+    frames = [
+        "signature={}", '{{"private_key": "{}"}}', "  client_credential: {}", "https://user:{}@host/path", "Authorization: Bearer {}",
+        "-----BEGIN PRIVATE KEY-----\n{}\n-----END PRIVATE KEY-----", "session {} ended", "pwd = '{}'",
+    ]
+    planted = found = 0
+    for frame in frames:
+        for n in (20, 32, 44):
+            for alphabet in (ALPHABET, ALPHABET[:52]):
+                value = some(n, alphabet)
+                text = "some words here. " + frame.format(value) + " and more words"
+                planted += 1
+                a = text.index(value)
+                found += any(x <= a and y >= a + n and k == 3 for x, k, y in secrets.all_spans(text))
+    assert found >= 0.9 * planted, (found, planted)
+    for name in ("getUserAccountFromSession", "application_configuration_manager", "INTERNATIONALIZATION", "/usr/local/share/certificates", "Donaudampfschifffahrt"):
+        for frame in frames:
+            assert secrets.all_spans("some words here. " + frame.format(name) + " and more") == [], (frame, name)
+
+
+def test_pem_lines_share_the_context():
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(ALPHABET) for _ in range(64)) for _ in range(6)]
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----"
+    assert [text[a:b] for a, _, b in secrets.all_spans(text)] == lines
+
+
+def test_base_spans_equal_brute_force(spark, data):
+    """The contract's three patterns, written out anew, over whole texts."""
+    import hashlib
+    import re
+
+    def brute(t):
+        out = []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+            if len(m[2]) >= 12:
+                out.append((m.start(), 0, "assign", m.end()))
+        out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        return sorted(out)
+
+    rows = spark.read.parquet(f"{data}/documents.parquet").collect()
+    got = {r.doc_id: r for r in secrets.query(spark, data).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = brute(r.text or "")
+        shown = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert [sum(k == x for _, _, k, _ in want) for x in ("assign", "access", "hex")] == [got[r.doc_id].n_assign, got[r.doc_id].n_access, got[r.doc_id].n_hex]
+        assert len(got[r.doc_id].novelty.split(",")) == len(got[r.doc_id].spans.split(","))
