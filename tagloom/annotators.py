@@ -8,7 +8,8 @@ batches (``per_partition``), which open their connection once a partition.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 from importlib.metadata import entry_points
 
 from pyspark.sql import DataFrame
@@ -59,6 +60,38 @@ def annotator(name: str, tasks: Iterable[str], train=None, aliases=()):
     return add
 
 
+def create(name: str, **options) -> Annotator:
+    """The annotator of that name with options bound to its function; options that are None are left out."""
+    a = ANNOTATORS.get(name)
+    given = {k: v for k, v in options.items() if v is not None}
+    return replace(a, apply=partial(a.apply, **given)) if given else a
+
+
+def command(argv: list[str], schema: str) -> Callable[[DataFrame], DataFrame]:
+    """An annotator that pipes each batch through a program: the column ``form``, a line a token, goes
+    in; as many lines come out, as ``pred``. A program that fails, or says too little, raises."""
+
+    def apply(tokens: DataFrame) -> DataFrame:
+        def open_session():
+            import subprocess
+
+            def send(frame):
+                if not len(frame):
+                    return frame.assign(pred=[])
+                text = "".join(f"{x}\n" for x in frame["form"].fillna(""))
+                done = subprocess.run(argv, input=text, capture_output=True, text=True, check=True)
+                lines = done.stdout.split("\n")[: len(frame)]
+                if len(lines) < len(frame):
+                    raise ValueError(f"{argv[0]}: {len(lines)} lines for {len(frame)} tokens")
+                return frame.assign(pred=lines)
+
+            return send
+
+        return per_partition(tokens, open_session, schema)
+
+    return apply
+
+
 def discover() -> list[str]:
     """Load annotators that installed packages offer as entry points."""
     found = []
@@ -88,3 +121,18 @@ def run_pipeline(tokens: DataFrame, names: list[str], tasks: Iterable[str] | Non
         if wanted is None or a.tasks & wanted:
             tokens = a.apply(tokens)
     return tokens
+
+
+def register_formats() -> None:
+    """Put the formats and the detector of this package into the registries; done at import."""
+    from .operators.language import detect
+    from .sources import conllu, tei
+
+    READERS.register("conllu", conllu.read_conllu, ("conll-u",))
+    READERS.register("teitok", tei.read_tei, ("tei", "xml"))
+    WRITERS.register("conllu", conllu.write_conllu, ("conll-u",))
+    WRITERS.register("teitok", tei.write_tei, ("tei", "xml"))
+    DETECTORS.register("trigrams", detect)
+
+
+register_formats()

@@ -50,12 +50,13 @@ def space_after_from_next(nxt) -> Column:
 
 
 def form_case(c) -> Column:
-    """UU all upper, Ul first upper, ll first lower, ?? no letter first; empty: ll."""
+    """UU first and last letter upper (two characters at least), Ul first upper, ll first lower, ?? else; empty: ll."""
     f = col(c)
+    first = f.rlike(r"^\p{Lu}")
     return (
         F.when(f == "", "ll")
-        .when(f.rlike(r"^\p{Lu}") & (f == F.upper(f)) & (F.char_length(f) > 1), "UU")
-        .when(f.rlike(r"^\p{Lu}"), "Ul")
+        .when(first & f.rlike(r"\p{Lu}$") & (F.char_length(f) > 1), "UU")
+        .when(first, "Ul")
         .when(f.rlike(r"^\p{Ll}"), "ll")
         .otherwise("??")
     )
@@ -114,17 +115,28 @@ def natural_sort_key(c) -> Column:
 
 
 def clean_misc_key(c) -> Column:
-    """Key names: no #, brackets or numeric suffix; null unless plain ASCII."""
-    k = F.regexp_replace(F.trim(col(c)), r"^#+\s*", "")
-    k = F.regexp_replace(k, r"\[[^\]]*\]", "")
-    k = F.regexp_replace(k, r"_?\d+$", "")
-    return F.when(k.rlike(r"^[A-Za-z0-9_]+$"), k)
+    """Key names: no leading #; what follows a bracket goes, then one suffix of -, _ or . and digits;
+    other characters become single underscores, none at the ends. Null if nothing or no ASCII is left."""
+    k = F.trim(F.regexp_replace(col(c), r"^#+", ""))
+    k = F.trim(F.regexp_replace(k, r"[\[(].*$", ""))
+    k = F.trim(F.regexp_replace(k, r"[-_.]\d+$", ""))
+    plain = F.regexp_replace(F.regexp_replace(k, r"[^A-Za-z0-9_]+", "_"), "_+", "_")
+    return F.when(~k.rlike(r"[^\x00-\x7F]"), F.nullif(F.regexp_replace(plain, "^_|_$", ""), F.lit("")))
+
+
+#: Names of projects in parentheses, which go, and of languages whose qualifier comes first.
+PROJECTS = ("proiel", "ittb", "vedic", "ufal")
+QUALIFIED = {"sorbian (upper)": "Upper Sorbian", "upper sorbian": "Upper Sorbian", "sorbian (lower)": "Lower Sorbian", "lower sorbian": "Lower Sorbian"}
 
 
 def clean_language_name(c) -> Column:
-    """``Sorbian (Upper)`` → ``Upper Sorbian``; other parentheses go."""
-    n = F.regexp_replace(F.trim(col(c)), r"^(\w+) \((Upper|Lower|Old|Ancient|Middle|Northern|Southern|Classical)\)$", "$2 $1")
-    return F.trim(F.regexp_replace(n, r"\s*\([^)]*\)", ""))
+    """``Sorbian (Upper)`` is ``Upper Sorbian``; known projects in final parentheses go; all else stays."""
+    n = F.trim(col(c))
+    match = r"^(.+?)\s*\(([^)]+)\)$"
+    base, inside = F.trim(F.regexp_extract(n, match, 1)), F.lower(F.trim(F.regexp_extract(n, match, 2)))
+    known = F.create_map(*[F.lit(x) for pair in QUALIFIED.items() for x in pair])
+    qualified = F.coalesce(F.try_element_at(known, F.lower(n)), F.try_element_at(known, F.concat(F.lower(base), F.lit(" ("), inside, F.lit(")"))))
+    return F.coalesce(qualified, F.when(n.rlike(match) & inside.isin(*PROJECTS), base), n)
 
 
 def safe_log(c) -> Column:

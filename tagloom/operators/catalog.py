@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..storage import stored
+
 
 def merge_registries(local: DataFrame, remote: DataFrame) -> DataFrame:
     """model, language, path: local wins, remote adds what is missing; language is remote's."""
@@ -72,3 +74,15 @@ def filter_results(results: DataFrame, **wanted) -> DataFrame:
         values = [values] if isinstance(values, str) else values
         results = results.filter(F.lower(name).isin(*[v.lower() for v in values]))
     return results
+
+
+def ranked(df: DataFrame, *order, name: str = "rank", ranges: int | None = None) -> DataFrame:
+    """df with its rank (from 1) in a total order, without one task that sorts all rows: rows are
+    dealt to ranges of the order, numbered in each, and the counts of the ranges before are added.
+    The sorted ranges are written once, so that both uses see the same ones (a job runs)."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(base), "_p").withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_p", "_own", "_before")

@@ -28,3 +28,8 @@ def language_topk(grams: DataFrame, profile: DataFrame, k: int = 3) -> DataFrame
     s = grams.join(profile, "gram").groupBy("doc_id", "lang").agg(F.round(F.sum(F.col("n") * F.col("p")), 9).alias("score"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "lang")
     return s.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def detect(docs: DataFrame, profile: DataFrame, text: str = "text", k: int = 1) -> DataFrame:
+    """The ``k`` best languages of each document, from profiles learned elsewhere."""
+    return language_topk(trigrams(docs, text), profile, k)

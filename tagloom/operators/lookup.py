@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def lexicon_exact(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """form, tag, weight: entries of exactly that form, weighted by their counts."""
@@ -32,26 +34,71 @@ def ending_lookup(forms: DataFrame, endings: DataFrame, longest: int = 6, retry:
     retry + 1 of them; the k-th weighs count * base ** -k."""
     sizes = F.sequence(F.least(F.lit(longest), F.char_length("form")), F.lit(1), F.lit(-1))
     s = forms.select("form", F.explode(F.transform(sizes, lambda k: F.right("form", k))).alias("ending"))
-    known = s.join(endings.select("ending").distinct(), "ending")
+    cells = endings.groupBy("ending").agg(F.collect_list(F.struct("tag", "n")).alias("ts"))
     w = Window.partitionBy("form").orderBy(F.desc(F.char_length("ending")))
-    hits = known.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= retry + 1)
-    return hits.join(endings, "ending").select("form", "ending", "tag", (F.col("n") * F.pow(F.lit(base), -F.col("k"))).alias("weight"))
+    hits = s.join(cells, "ending").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= retry + 1)
+    t = hits.select("form", "ending", "k", F.explode("ts").alias("t"))
+    return t.select("form", "ending", "t.tag", (F.col("t.n") * F.pow(F.lit(base), -F.col("k"))).alias("weight"))
+
+
+def _cells(lexicon: DataFrame) -> DataFrame:
+    """form, ts (array of tag, w), freq: the entries of each form in one row."""
+    e = lexicon.groupBy("form", "tag").agg(F.sum("n").alias("n"))
+    t = F.struct("tag", F.greatest(F.col("n"), F.lit(1)).cast("double").alias("w"))
+    return e.groupBy("form").agg(F.collect_list(t).alias("ts"), F.sum("n").alias("freq"))
 
 
-def candidate_lattice(forms: DataFrame, lexicon: DataFrame, endings: DataFrame, types: DataFrame) -> DataFrame:
+def candidate_lattice(
+    forms: DataFrame, lexicon: DataFrame, endings: DataFrame, types: DataFrame, longest: int = 6, retry: int = 2, base: float = 2.0
+) -> DataFrame:
     """form, tag, p, source: candidates of each form, summing to 1: exact entries, or
-    else lower-case ones, or else endings, or else the prior of types."""
-    entries = lexicon.groupBy("form", "tag").agg(F.sum("n").alias("n"))
-    exact = lexicon_exact(forms, entries).withColumn("source", F.lit("lexicon"))
-    lower = lexicon_lower(forms, entries).withColumn("source", F.lit("lower"))
-    rest = forms.join(exact.select("form").distinct(), "form", "left_anti").join(lower.select("form").distinct(), "form", "left_anti")
-    ending = ending_lookup(rest, endings).groupBy("form", "tag").agg(F.sum("weight").alias("weight")).withColumn("source", F.lit("ending"))
-    bare = rest.join(ending.select("form").distinct(), "form", "left_anti")
-    shown = types.agg(F.collect_list(F.struct("tag", F.col("n_types").cast("double").alias("weight"))).alias("ts"))  # one row: tags only
-    typed = bare.crossJoin(F.broadcast(shown)).select("form", F.explode("ts").alias("t")).select("form", "t.tag", "t.weight", F.lit("type").alias("source"))
-    every = exact.unionByName(lower).unionByName(ending).unionByName(typed)
-    total = F.sum("weight").over(Window.partitionBy("form"))
-    return every.select("form", "tag", (F.col("weight") / total).alias("p"), "source")
+    else lower-case ones, or else endings, or else the prior of types.
+
+    Entries are gathered to one row a form; forms meet them in two joins, and only forms
+    that neither finds are cut into endings. That table is written once (a job runs while
+    this is built), then read by both parts.
+    """
+    cells = _cells(lexicon)
+    low = cells.groupBy(F.lower("form").alias("_l")).agg(F.min_by("ts", F.struct(-F.col("freq"), "form")).alias("_ts"))
+    f = forms.join(cells.select("form", "ts"), "form", "left").join(low, (F.lower("form") == F.col("_l")) & F.col("ts").isNull(), "left")
+    tenth = F.transform("_ts", lambda t: F.struct(t["tag"].alias("tag"), (t["w"] * 0.1).alias("w")))
+    f = stored(f.select("form", F.coalesce("ts", tenth).alias("ts"), F.when(F.col("ts").isNotNull(), "lexicon").when(F.col("_ts").isNotNull(), "lower").alias("source")), "lattice")
+    rest = f.filter("source IS NULL").select("form")
+    by_ending = ending_lookup(rest, endings, longest, retry, base).groupBy("form", "tag").agg(F.sum("weight").alias("w"))
+    by_ending = by_ending.groupBy("form").agg(F.collect_list(F.struct("tag", "w")).alias("ts"))
+    shown = types.agg(F.collect_list(F.struct("tag", F.col("n_types").cast("double").alias("w"))).alias("_types"))  # one row: tags only
+    rest = rest.join(by_ending, "form", "left").crossJoin(F.broadcast(shown))
+    rest = rest.select("form", F.coalesce("ts", "_types").alias("ts"), F.when(F.col("ts").isNotNull(), "ending").otherwise("type").alias("source"))
+    every = f.filter("source IS NOT NULL").unionByName(rest)
+    total = F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"])
+    return every.select("form", F.explode("ts").alias("t"), "source", total.alias("total")).select("form", "t.tag", (F.col("t.w") / F.col("total")).alias("p"), "source")
+
+
+def heuristic_lattice(forms: DataFrame, lexicon: DataFrame, types: DataFrame, shortest: int = 2, longest: int = 6) -> DataFrame:
+    """form, tag, p, source: smoothed shares (n + 0.1) / (total + 0.1 * tags) of a form's own entries and,
+    weighted by their counts, of its lower case; for unknown forms those of the longest known
+    suffix of 2 to 6 letters, else those of all tags. They sum to 1."""
+    shares = lambda ts, total: F.transform(ts, lambda t: F.struct(t["tag"].alias("tag"), ((t["w"] + 0.1) / (total + 0.1 * F.col("_k"))).alias("w")))
+    cells = _cells(lexicon)
+    tags = lexicon.groupBy("tag").agg(F.sum("n").cast("double").alias("w"))
+    shown = tags.agg(F.collect_list(F.struct("tag", "w")).alias("_all"), F.sum("w").alias("_total"), F.count(F.lit(1)).alias("_k"))
+    low = cells.select(F.col("form").alias("_l"), F.col("ts").alias("_ts"), F.col("freq").alias("_freq"))
+    f = forms.join(cells, "form", "left").join(low, (F.lower("form") == F.col("_l")) & (F.lower("form") != F.col("form")), "left").crossJoin(F.broadcast(shown))
+    part = F.coalesce(F.col("_freq") / (F.col("freq") + F.col("_freq")), F.lit(1.0))
+    lower = F.transform(shares(F.col("_ts"), F.col("_freq")), lambda t: F.struct(t["tag"].alias("tag"), (t["w"] * part).alias("w")))
+    none = F.array().cast("array<struct<tag:string,w:double>>")
+    f = f.select("form", F.concat(F.coalesce(shares(F.col("ts"), F.col("freq")), none), F.coalesce(lower, none)).alias("ts"))
+    f = stored(f, "lattice")
+    rest = f.filter(F.size("ts") == 0).select("form")
+    cut = lambda c: F.explode(F.transform(F.filter(F.sequence(F.lit(longest), F.lit(shortest), F.lit(-1)), lambda k: k <= F.char_length(c)), lambda k: F.right(F.lower(c), k)))
+    ends = lexicon.select("tag", "n", cut("form").alias("ending")).groupBy("ending", "tag").agg(F.sum("n").cast("double").alias("w"))
+    ends = ends.groupBy("ending").agg(F.collect_list(F.struct("tag", "w")).alias("ts"), F.sum("w").alias("total"))
+    hit = rest.select("form", cut("form").alias("ending")).join(ends, "ending").groupBy("form").agg(F.max_by(F.struct("ts", "total"), F.char_length("ending")).alias("h"))
+    rest = rest.join(hit, "form", "left").crossJoin(F.broadcast(shown))
+    rest = rest.select("form", F.coalesce(shares(F.col("h.ts"), F.col("h.total")), shares(F.col("_all"), F.col("_total"))).alias("ts"), F.when(F.col("h").isNotNull(), "suffix").otherwise("type").alias("source"))
+    every = f.filter(F.size("ts") > 0).withColumn("source", F.lit("lexicon")).unionByName(rest)
+    flat = every.select("form", "source", F.explode("ts").alias("t")).groupBy("form", "source", "t.tag").agg(F.sum("t.w").alias("w"))
+    return flat.select("form", "tag", (F.col("w") / F.sum("w").over(Window.partitionBy("form"))).alias("p"), "source")
 
 
 def xpos_to_combo(tokens: DataFrame, mapping: DataFrame) -> DataFrame:

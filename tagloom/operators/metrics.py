@@ -5,7 +5,7 @@ token without a partner has nulls on the predicted side.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.feats import feats_partial_match
@@ -47,13 +47,22 @@ def head_join(tokens: DataFrame) -> DataFrame:
 
 
 def attachment_scores(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """uas, las, n over aligned pairs that both have a deprel: heads agree (both root,
-    or the same place), and labels too."""
-    both = pairs.filter(_filled(F.col("g_deprel")) & _filled(F.col("p_deprel")))
-    head = F.col("g_head") == F.col("p_head")
+    """uas, las, n over aligned pairs that both have a deprel.
+
+    Heads agree if both are 0, or if neither is and the predicted head is the token that the
+    gold head is aligned with: ``g_id`` and ``p_id`` (from 1, in their own sentences) say which
+    is which, so insertions and deletions don't matter. One shuffle by sentence.
+    """
+    sentence = Window.partitionBy("doc_id", "sent_ord")
+    entry = F.when(F.col("p_id").isNotNull(), F.struct("g_id", "p_id"))
+    partner = F.try_element_at(F.map_from_entries(F.collect_list(entry).over(sentence)), F.col("g_head"))
+    g, p = F.col("g_head"), F.col("p_head")
+    head = F.coalesce(((g == 0) & (p == 0)) | ((g > 0) & (p > 0) & (partner == p)), F.lit(False))
     las = head & (F.col("g_deprel") == F.col("p_deprel"))
+    marked = pairs.select(*by, "g_deprel", "p_deprel", head.alias("head"), las.alias("las"))
+    both = marked.filter(_filled(F.col("g_deprel")) & _filled(F.col("p_deprel")))
     rate = lambda c: F.try_divide(F.count_if(c), F.count(F.lit(1)))
-    return (both.groupBy(*by) if by else both).agg(rate(head).alias("uas"), rate(las).alias("las"), F.count(F.lit(1)).alias("n"))
+    return (both.groupBy(*by) if by else both).agg(rate(F.col("head")).alias("uas"), rate(F.col("las")).alias("las"), F.count(F.lit(1)).alias("n"))
 
 
 def split_scores(words: DataFrame) -> DataFrame:

@@ -32,14 +32,43 @@ def morph_variation(forms: DataFrame, suffixes: DataFrame, regs: DataFrame, entr
     return made.groupBy("form").agg(F.max_by("reg", F.struct(F.char_length("suffix"), "suffix", "reg")).alias("reg"))
 
 
+#: Supports a pattern needs, and a bound on pairs of characters, checked.
+MIN_PATTERN, MAX_PATTERNS = 10, 10_000
+
+
 def pattern_substitution(forms: DataFrame, patterns: DataFrame, entries: DataFrame) -> DataFrame:
-    """form, reg: forms that one learned character replacement turns into a known form;
-    the best supported pattern wins. Patterns are few: pairs of characters."""
-    known = entries.select(F.col("form").alias("reg")).distinct()
-    by_char = forms.select("form", F.explode(F.array_distinct(F.split("form", ""))).alias("old"))
-    made = by_char.join(patterns, "old").select("form", F.replace(F.col("form"), F.col("old"), F.col("new")).alias("reg"), "n", "old", "new")
-    hit = made.join(known, "reg", "left_semi")
-    return hit.groupBy("form").agg(F.max_by("reg", F.struct("n", "old", "new")).alias("reg"))
+    """form, reg: the learned character replacements, most frequent first, applied to the lower-case
+    form one after another, each kept if what it makes is known: as a form in whatever case (whose
+    own regular form, if any, is taken then) or as a regular form.
+
+    Replacements go from the character of more UTF-8 bytes, or between two of several bytes.
+    Forms that are known without a regular form of their own have none. Each step is a join over
+    the forms that are left, so no lexicon is held in memory; patterns are few.
+    """
+    e = entries.select("form", F.nullif(F.nullif("reg", F.lit("")), F.lit("_")).alias("reg"))
+    own = e.groupBy(F.lower("form").alias("_l")).agg(F.max((F.col("reg").isNotNull() & (F.lower("reg") != F.lower("form"))).cast("int")).alias("_own"))
+    made = e.groupBy(F.lower("form").alias("w")).agg(F.min(F.when(F.lower("reg") != F.lower("form"), F.lower("reg"))).alias("better"))
+    known = made.unionByName(e.filter("reg IS NOT NULL").select(F.lower("reg").alias("w"), F.lit(None).cast("string").alias("better")))
+    known = known.groupBy("w").agg(F.min("better").alias("better"))
+    wide = F.octet_length("old") > F.octet_length("new")
+    wide |= (F.octet_length("old") == F.octet_length("new")) & (F.octet_length("old") > 1)
+    steps = patterns.filter((F.col("n") >= MIN_PATTERN) & wide).orderBy(F.desc("n"), "old", "new").limit(MAX_PATTERNS + 1).collect()
+    if len(steps) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    # A form's possible results: after each step the old word or the new one, as long as it is known.
+    t = forms.join(own, F.lower("form") == F.col("_l"), "left").filter(F.coalesce("_own", F.lit(1)) == 1).select("form", F.lower("form").alias("w"))
+    touched = t.filter(F.lit(False))
+    if steps:
+        olds = F.array(*[F.lit(r["old"]) for r in steps])
+        touched = t.filter(F.arrays_overlap(F.split("w", ""), olds)).withColumn("cur", F.col("w"))
+        for r in steps:
+            new = F.replace(F.col("cur"), F.lit(r["old"]), F.lit(r["new"]))
+            hit = known.withColumnsRenamed({"w": "_w", "better": "_b"})
+            touched = touched.withColumn("_new", new).join(hit, (F.col("_new") == F.col("_w")) & (F.col("_new") != F.col("cur")), "left")
+            touched = touched.withColumn("cur", F.when(F.col("_w").isNotNull(), F.coalesce("_b", "_new")).otherwise(F.col("cur"))).drop("_new", "_w", "_b")
+        touched = touched.filter("cur != w").select("form", F.col("cur").alias("reg"))
+        return touched
+    return touched.select("form", F.col("w").alias("reg"))
 
 
 def normalize_words(forms: DataFrame, entries: DataFrame, conservative: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ case counts between tags, whose size the tag set bounds (checked against ``MAX_T
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,13 +22,25 @@ MAX_TAGS = 5000
 class Settings:
     factor: float = 1.0
     smooth: float = 0.0
-    epsilon: float = 1e-12
+    epsilon: float = 1e-10
     case_min: float = 1e-3
     beam: int = 1000
-    threshold: float = 0.0
+    threshold: float = 1e-4
     fallback: float = 1e-6
 
 
+#: Where the search for settings starts, and what it tries, in order.
+DEFAULTS = {
+    "factor": 1.0, "smooth": 0.0, "endlen": 6, "endretry": 2, "beam": 1000, "threshold": 1e-4, "epsilon": 1e-10,
+    "fallback": 1e-6, "case_min": 1e-3, "ending_decay_base": 5.0,
+}
+SEARCH_SPACE = {
+    "factor": [0.8, 1.0, 1.2], "smooth": [0.0, 0.001, 0.01], "endlen": [4, 5, 6, 7], "endretry": [1, 2, 3],
+    "beam": [500, 1000, 2000], "threshold": [1e-5, 1e-4, 1e-3], "epsilon": [1e-12, 1e-10, 1e-8],
+    "fallback": [1e-7, 1e-6, 1e-5], "case_min": [1e-4, 1e-3, 1e-2], "ending_decay_base": [3.0, 5.0, 7.0],
+}
+
+
 @dataclass
 class TagModel:
     transitions: dict = field(default_factory=dict)  # prev -> next -> count
@@ -57,12 +69,17 @@ def viterbi(lattice, model: TagModel, s: Settings, log_space: bool = False):
     Linear space: a transition weighs (count + smooth) ** factor; none at all with
     smooth 0 removes the arc, and a cell that no arc reaches starts anew from the
     best state before. Log space: transitions are shares of their row, 1e-6 if
-    unseen, and start counts weigh the first cell. Ties go to the tag first by name.
+    unseen, and start counts weigh the first cell. Once ``beam`` tags of a cell are in,
+    candidates under ``threshold`` are skipped. Tags of contractions (parts joined by
+    ``.``) follow by their last part and are followed by their first. Ties go to the tag
+    first by name.
     """
     back, scores = [], {}
     for i, (cell, case) in enumerate(lattice):
         fresh, links = {}, {}
         for tag in sorted(cell):
+            if len(fresh) >= s.beam and cell[tag] < s.threshold:
+                continue
             p = max(cell[tag], s.epsilon)
             seen = model.cases.get(tag)
             weight = max(seen[case] / sum(seen.values()), s.case_min) if seen and case in seen else 1.0
@@ -74,14 +91,13 @@ def viterbi(lattice, model: TagModel, s: Settings, log_space: bool = False):
                     fresh[tag] = p
                 continue
             best, link = None, None
+            into = tag.partition(".")[0] or tag
             for prev, q in scores.items():
-                if len(scores) >= s.beam and q < s.threshold:
-                    continue
-                row = model.transitions.get(prev, {})
+                row = model.transitions.get(prev.rpartition(".")[2] or prev, {})
                 if log_space:
-                    v = q + math.log(p) + math.log(max(row.get(tag, 0) / (sum(row.values()) or 1), 1e-6))
+                    v = q + math.log(p) + math.log(max(row.get(into, 0) / (sum(row.values()) or 1), 1e-6))
                 else:
-                    c = row.get(tag, 0) + s.smooth
+                    c = row.get(into, 0) + s.smooth
                     if c <= 0:
                         continue
                     v = q * p * c**s.factor * weight
@@ -108,17 +124,23 @@ def viterbi(lattice, model: TagModel, s: Settings, log_space: bool = False):
     return out[::-1]
 
 
-def viterbi_tag(tokens: DataFrame, candidates: DataFrame, model: TagModel, settings: Settings | None = None, log_space: bool = False) -> DataFrame:
-    """doc_id, sent_ord, tok_ord, form, pred. ``--`` tokens get none and cut the sequence;
-    forms without candidates are ``<unknown>``."""
+def viterbi_tag(
+    tokens: DataFrame, candidates: DataFrame, model: TagModel, settings: Settings | None = None, log_space: bool = False,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, sent_ord, tok_ord, form, the columns ``carry``, pred. ``--`` tokens get none and cut
+    the sequence; forms without candidates are ``<unknown>``."""
     s = settings or Settings()
     cells = candidates.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("tag", "p"))).alias("cell"))
-    t = tokens.select("doc_id", "sent_ord", "tok_ord", "form", form_case("form").alias("wcase")).join(cells, "form", "left")
-    g = t.groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "form", "wcase", F.map_entries("cell").alias("cell")))).alias("ts"))
-    shared = tokens.sparkSession.sparkContext.broadcast((model, s))
+    t = tokens.select("doc_id", "sent_ord", "tok_ord", "form", *carry, form_case("form").alias("wcase")).join(cells, "form", "left")
+    g = t.groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "form", *carry, "wcase", F.map_entries("cell").alias("cell")))).alias("ts"))
+    # Plain objects of a bounded tag set: workers need not have this package.
+    shared = tokens.sparkSession.sparkContext.broadcast((model.transitions, model.cases, model.starts, asdict(s)))
+    names = ["doc_id", "sent_ord", "tok_ord", "form", *carry, "pred"]
 
     def run(frames):
-        m, st = shared.value
+        transitions, cases, starts, st = shared.value
+        m, st = TagModel(transitions, cases, starts), Settings(**st)
         for f in frames:
             rows = []
             for r in f.itertuples():
@@ -127,17 +149,18 @@ def viterbi_tag(tokens: DataFrame, candidates: DataFrame, model: TagModel, setti
                 for x in [*r.ts, None]:
                     if x is None or x["form"] == "--":
                         tags = viterbi([c for _, c in part], m, st, log_space)
-                        done += [(y["tok_ord"], y["form"], tag) for (y, _), tag in zip(part, tags)]
+                        done += [(*(y[c] for c in names[2:-1]), tag) for (y, _), tag in zip(part, tags)]
                         if x is not None:
-                            done.append((x["tok_ord"], x["form"], None))
+                            done.append((*(x[c] for c in names[2:-1]), None))
                         part = []
                     else:
                         cell = {e["key"]: e["value"] for e in x["cell"]} if x["cell"] is not None else {"<unknown>": st.fallback}
                         part.append((x, (cell, x["wcase"])))
                 rows += [(r.doc_id, r.sent_ord, *d) for d in done]
-            yield pd.DataFrame(rows, columns=["doc_id", "sent_ord", "tok_ord", "form", "pred"])
+            yield pd.DataFrame(rows, columns=names)
 
-    return g.mapInPandas(run, "doc_id bigint, sent_ord int, tok_ord int, form string, pred string")
+    kinds = {c: tokens.schema[c].dataType.simpleString() for c in names[:-1]} | {"pred": "string"}
+    return g.mapInPandas(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
 
 
 def update_tokens(tokens: DataFrame, tagged: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -148,20 +171,19 @@ def update_tokens(tokens: DataFrame, tagged: DataFrame, overwrite: bool = False)
 
 
 def finetune(evaluate, start: dict, space: dict, most: int = 200) -> tuple[dict, float, int]:
-    """Coordinate search: each setting in turn keeps the value of best ``evaluate``
-    (a function of the settings, a Spark job a call), until nothing improves."""
+    """Coordinate search: each setting in turn takes the value of best ``evaluate`` (a function of
+    the settings, a Spark job a call), in one pass over ``space`` and at most ``most`` calls.
+    ``endlen`` never gets smaller; of equal values the first stays."""
     best, calls = dict(start), 1
     score = evaluate(best)
-    improved = True
-    while improved and calls < most:
-        improved = False
-        for name, values in space.items():
-            for v in values:
-                if v == best[name] or calls >= most:
-                    continue
-                calls += 1
-                if (got := evaluate({**best, name: v})) > score:
-                    best, score, improved = {**best, name: v}, got, True
+    for name, values in space.items():
+        was = best[name]
+        for v in values:
+            if v == was or calls >= most or name == "endlen" and v < was:
+                continue
+            calls += 1
+            if (got := evaluate({**best, name: v})) > score:
+                best, score = {**best, name: v}, got
     return best, score, calls
 
 

@@ -6,6 +6,8 @@ and tokens explode from arrays, neighbours come from the array, nothing shuffles
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,26 +39,28 @@ def explode_tokens(sentences: DataFrame, keep: tuple[str, ...] = ("doc_id", "lan
     return out.select(*keep, "tok_ord", "t.form", "t.prev", "t.nxt", "n_tok")
 
 
+#: Whether a form begins with an ASCII letter: spares most regular expressions below.
+ASCII = "((form >= 'a' AND form < '{') OR (form >= 'A' AND form < '['))"
 #: Column -> expression, in a notation that ``dialect`` turns into either SQL.
 ANNOTATIONS = {
-    "tag": r"""CASE WHEN NOT M(form, R'[\p{L}\p{N}]') THEN 'PUNCT' WHEN M(form, R'^\p{N}+$') THEN 'NUM'
+    "tag": r"""CASE WHEN NOT (%W OR M(form, R'[\p{L}\p{N}]')) THEN 'PUNCT' WHEN NOT %W AND M(form, R'^\p{N}+$') THEN 'NUM'
        ELSE concat(CASE WHEN M(lower(form), '%V') THEN 'V' ELSE 'C' END,
                    CASE WHEN M(lower(coalesce(prev, '')), '%V') THEN 'v' ELSE 'c' END) END""",
     "lemma": r"""CASE WHEN length(form) > 1 THEN regexp_replace(lower(form), '%V', '') ELSE lower(form) END""",
-    "feats": r"""CASE WHEN NOT M(form, R'[\p{L}\p{N}]') THEN '_'
-       ELSE concat('Cap=', CASE WHEN M(form, R'^\p{Lu}') THEN 'Yes' ELSE 'No' END, '|Len=',
+    "feats": r"""CASE WHEN NOT (%W OR M(form, R'[\p{L}\p{N}]')) THEN '_'
+       ELSE concat('Cap=', CASE WHEN (form >= 'A' AND form < '[') OR (NOT %W AND M(form, R'^\p{Lu}')) THEN 'Yes' ELSE 'No' END, '|Len=',
                    CASE WHEN length(form) < 4 THEN 'S' WHEN length(form) < 8 THEN 'M' ELSE 'L' END) END""",
     "reg": r"""CASE WHEN form <> translate(form, '%A', '%P') THEN translate(form, '%A', '%P') ELSE '' END""",
-    "space_after": r"""CASE WHEN nxt IS NOT NULL THEN M(nxt, R'^[\p{L}\p{N}]') END""",
+    "space_after": r"""CASE WHEN nxt IS NOT NULL THEN (nxt >= 'a' AND nxt < '{') OR (nxt >= 'A' AND nxt < '[') OR M(nxt, R'^[\p{L}\p{N}]') END""",
     "head": "tok_ord",
-    "deprel": r"""CASE WHEN tok_ord = 0 THEN 'root' WHEN NOT M(form, R'[\p{L}\p{N}]') THEN 'punct'
+    "deprel": r"""CASE WHEN tok_ord = 0 THEN 'root' WHEN NOT (%W OR M(form, R'[\p{L}\p{N}]')) THEN 'punct'
        WHEN length(form) < 4 THEN 'case' ELSE 'dep' END""",
 }
 
 
 def dialect(sql: str, duck: bool) -> str:
     """``M(`` is the regular-expression test, ``R'`` a raw string."""
-    sql = sql.replace("%V", VOWEL_END).replace("%A", ACCENTS).replace("%P", PLAIN)
+    sql = sql.replace("%W", ASCII).replace("%V", VOWEL_END).replace("%A", ACCENTS).replace("%P", PLAIN)
     if duck:
         return sql.replace("M(", "regexp_matches(").replace("R'", "'")
     return sql.replace("M(", "regexp_like(").replace("R'", "r'")
@@ -72,6 +76,19 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_tokens(explode_sentences(read(spark, sf_dir, "documents")))
 
 
+def nested(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, sents: for each document an array of sentences, each (sent_ord, ts), ts an
+    array of pseudo-annotated tokens. Everything stays in the document's row: no shuffle."""
+    docs = read(spark, sf_dir, "documents")
+    words = docs.select(*keep, F.transform(segment_sentences("text"), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0))).alias("_f"))
+    here = lambda x: re.sub(r"\btok_ord\b", "i", re.sub(r"\bnxt\b", "get(f, i + 1)", re.sub(r"\bprev\b", "get(f, i - 1)", dialect(x, False))))
+    plain = ", ".join(f"'{k}', {here(x)}" for k, x in ANNOTATIONS.items())
+    upper = "(form >= 'A' AND form < '[') OR regexp_like(form, r'^\\p{Lu}')"
+    token = f"named_struct('tok_ord', i, 'form', form, {plain}, 'xpos', concat_ws('.', {here(ANNOTATIONS['tag'])}, CASE WHEN {upper} THEN 'U' ELSE 'l' END))"
+    sents = F.expr(f"filter(transform(_f, (f, j) -> named_struct('sent_ord', j, 'ts', transform(f, (form, i) -> {token}))), s -> size(s.ts) > 0)")
+    return words.select(*keep, sents.alias("sents")).filter(F.size("sents") > 0)
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-annotated tokens of all documents."""
     return annotate(tokens(spark, sf_dir))

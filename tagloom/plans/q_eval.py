@@ -19,27 +19,29 @@ BEST_SQL = ENTRIES_SQL + """, bt AS (SELECT form, max({'n': n, 't': tag, 'l': le
 pairs AS (SELECT g.doc_id, g.lang, g.sent_ord, g.tok_ord, g.form AS g_form, g.tag AS g_upos, g.xpos AS g_xpos, g.lemma AS g_lemma, g.feats AS g_feats, g.reg AS g_reg, g.head AS g_head, g.deprel AS g_deprel,
  CASE WHEN g.tok_ord % 7 <> 6 THEN g.form END AS p_form, CASE WHEN g.tok_ord % 7 <> 6 THEN b.t END AS p_upos, CASE WHEN g.tok_ord % 7 <> 6 THEN b.x END AS p_xpos,
  CASE WHEN g.tok_ord % 7 <> 6 THEN b.l END AS p_lemma, CASE WHEN g.tok_ord % 7 <> 6 THEN CASE WHEN g.tok_ord % 5 = 0 THEN split_part(g.feats, '|', 1) ELSE g.feats END END AS p_feats,
- CASE WHEN g.tok_ord % 7 <> 6 THEN g.reg END AS p_reg, CASE WHEN g.tok_ord % 7 <> 6 THEN CASE WHEN g.tok_ord % 3 = 2 THEN 0 ELSE g.head END END AS p_head,
+ CASE WHEN g.tok_ord % 7 <> 6 THEN g.reg END AS p_reg, CASE WHEN g.tok_ord % 7 <> 6 THEN CASE WHEN g.tok_ord % 3 = 2 OR g.head % 7 = 0 THEN 0 ELSE g.head - g.head // 7 END END AS p_head, g.tok_ord + 1 AS g_id, CASE WHEN g.tok_ord % 7 <> 6 THEN g.tok_ord + 1 - (g.tok_ord + 1) // 7 END AS p_id,
  CASE WHEN g.tok_ord % 7 <> 6 THEN CASE WHEN length(g.form) < 5 AND g.tok_ord > 0 THEN 'case' ELSE g.deprel END END AS p_deprel, freq
- FROM gold g LEFT JOIN bt ON g.form = bt.form WHERE g.doc_id % 2 = 1)
+ FROM gold g LEFT JOIN bt ON g.form = bt.form)
 """
 
 
 def pairs(spark, d):
-    """Odd documents against what a most-frequent-tag lexicon of the even ones says;
+    """All documents against what a most-frequent-tag lexicon of the even ones says;
     every seventh token has no partner."""
     best = entries(spark, d).groupBy("form").agg(F.max(F.struct("n", "tag", "lemma", "feats", "xpos")).alias("b"), F.sum("n").alias("freq"))
-    g = gold(spark, d).filter("doc_id % 2 = 1").join(best, "form", "left")
+    g = gold(spark, d).join(best, "form", "left")
     t = F.col("tok_ord")
     there = lambda c: F.when(t % 7 != 6, c)
     names = {"form": "form", "upos": "tag", "xpos": "xpos", "lemma": "lemma", "feats": "feats", "reg": "reg", "head": "head", "deprel": "deprel"}
     predicted = {
         "form": F.col("form"), "upos": F.col("b.tag"), "xpos": F.col("b.xpos"), "lemma": F.col("b.lemma"),
         "feats": F.when(t % 5 == 0, F.split_part("feats", F.lit("|"), F.lit(1))).otherwise(F.col("feats")), "reg": F.col("reg"),
-        "head": F.when(t % 3 == 2, 0).otherwise(F.col("head")),
+        # The predicted sentence counts without the tokens it lacks.
+        "head": F.when((t % 3 == 2) | (F.col("head") % 7 == 0), 0).otherwise(F.expr("head - head div 7").cast("int")),
         "deprel": F.when((F.char_length("form") < 5) & (t > 0), "case").otherwise(F.col("deprel")),
     }
-    return g.select("doc_id", "lang", "sent_ord", "tok_ord", "freq", *[F.col(c).alias(f"g_{k}") for k, c in names.items()], *[there(c).alias(f"p_{k}") for k, c in predicted.items()])
+    ids = [(t + 1).alias("g_id"), there(F.expr("tok_ord + 1 - (tok_ord + 1) div 7").cast("int")).alias("p_id")]
+    return g.select("doc_id", "lang", "sent_ord", "tok_ord", "freq", *ids, *[F.col(c).alias(f"g_{k}") for k, c in names.items()], *[there(c).alias(f"p_{k}") for k, c in predicted.items()])
 
 
 ACC_SQL = BEST_SQL + """, s AS (SELECT *, string_split(g_feats, '|') AS gf, string_split(p_feats, '|') AS pf FROM pairs)
@@ -67,7 +69,9 @@ def _(spark, d):
     return M.accuracy_metrics(pairs(spark, d), ("lang",))
 
 
-@query("attachment_scores", BEST_SQL + "SELECT lang, round(avg(CASE WHEN g_head = p_head THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS uas, round(avg(CASE WHEN g_head = p_head AND g_deprel = p_deprel THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS las, count(*) AS n FROM pairs WHERE p_deprel IS NOT NULL GROUP BY lang")
+@query("attachment_scores", BEST_SQL + """, h AS (SELECT g.lang, g.g_deprel, g.p_deprel, (g.g_head = 0 AND g.p_head = 0) OR (g.g_head > 0 AND g.p_head > 0 AND coalesce(x.p_id = g.p_head, false)) AS head
+ FROM pairs g LEFT JOIN pairs x ON g.doc_id = x.doc_id AND g.sent_ord = x.sent_ord AND g.g_head = x.g_id WHERE g.p_deprel IS NOT NULL)
+SELECT lang, round(avg(CASE WHEN head THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS uas, round(avg(CASE WHEN head AND g_deprel = p_deprel THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS las, count(*) AS n FROM h GROUP BY lang""")
 def _(spark, d):
     return M.attachment_scores(pairs(spark, d), ("lang",)).withColumns({c: F.round(c, 6) for c in ("uas", "las")})
 
@@ -193,11 +197,13 @@ def _(spark, d):
     return offsets(spark, d).withColumn("sent_ord", F.col("sent_ord").cast("bigint"))
 
 
-_SPANS = "SELECT doc_id, k * 50 + 1 AS start, k * 50 + 1 + k % 9 AS \"end\", 'x' || CAST(k % 3 AS VARCHAR) AS label FROM (SELECT doc_id, unnest(generate_series(0, 39)) AS k FROM documents)"
+_SPANS = "SELECT doc_id, k * 50 + 1 AS start, k * 50 + 1 + k % 9 AS \"end\", 'x' || CAST(k % 3 AS VARCHAR) AS label FROM (SELECT doc_id, unnest(generate_series(0, CAST((max(last) - 1) // 50 AS BIGINT))) AS k FROM ro GROUP BY doc_id)"
 
 
 def doc_spans(spark, d):
-    k = read(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    """A span at every fiftieth token of each document, to its end."""
+    ends = offsets(spark, d).groupBy("doc_id").agg(F.max("last").alias("last"))
+    k = ends.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("cast((last - 1) div 50 as int)"))).alias("k"))
     return k.select("doc_id", (F.col("k") * 50 + 1).alias("start"), (F.col("k") * 50 + 1 + F.col("k") % 9).alias("end"), F.concat(F.lit("x"), (F.col("k") % 3).cast("string")).alias("label"))
 
 
@@ -282,11 +288,10 @@ def _(spark, d):
     return SP.upsert_results(r, r.filter(F.col("model").cast("bigint") % 7 == 0).withColumn("lemma", F.col("lemma") + 1))
 
 
-@query("sort_results", RES_SQL + "SELECT CAST(row_number() OVER (ORDER BY upos DESC NULLS LAST, backend, model, mode) AS BIGINT) AS rank, language, backend, model, mode, round(upos, 6) AS upos FROM (SELECT language, backend, model, mode, round(avg(upos), 6) AS upos FROM res WHERE language = 'A' GROUP BY ALL)")
+@query("sort_results", RES_SQL + "SELECT CAST(row_number() OVER (ORDER BY upos DESC NULLS LAST, language, backend, model, mode) AS BIGINT) AS rank, language, backend, model, mode, round(upos, 6) AS upos FROM (SELECT language, backend, model, mode, round(avg(upos), 6) AS upos FROM res GROUP BY ALL)")
 def _(spark, d):
-    a = SP.benchmark_average(C.filter_results(results(spark, d), language="a"), ["upos"]).withColumn("upos", F.round("upos", 6))
-    w = Window.orderBy(F.col("upos").desc_nulls_last(), "backend", "model", "mode")
-    return C.sort_results(a).select(F.row_number().over(w).cast("bigint").alias("rank"), "language", "backend", "model", "mode", "upos")
+    a = SP.benchmark_average(results(spark, d), ["upos"]).withColumn("upos", F.round("upos", 6))
+    return C.ranked(a, F.col("upos").desc_nulls_last(), "language", "backend", "model", "mode").select("rank", "language", "backend", "model", "mode", "upos")
 
 
 @query("filter_results", RES_SQL + "SELECT language, backend, count(*) AS n FROM res WHERE lower(language) IN ('a', 'r') AND lower(backend) = 'f' GROUP BY ALL")
@@ -361,8 +366,8 @@ def _(spark, d):
 
 @query("list_models", CAT_SQL + "SELECT CAST(row_number() OVER (ORDER BY language, backend, model) AS BIGINT) AS rank, language, backend, model FROM cat WHERE installed")
 def _(spark, d):
-    w = Window.orderBy("language", "backend", "model")
-    return catalog(spark, d).filter("installed").select(F.row_number().over(w).cast("bigint").alias("rank"), "language", "backend", "model")
+    c = catalog(spark, d).filter("installed").select("language", "backend", "model")
+    return C.ranked(c, "language", "backend", "model")
 
 
 @query("language_union", "SELECT n_name AS language FROM nation UNION SELECT r_name FROM region")

@@ -8,14 +8,16 @@ from ..operators import language as LA
 from ..operators import lemma_rules as LR
 from ..operators import lexicon as L
 from ..operators import lookup as LU
+from ..operators import process as P
 from ..operators import spans as S
 from ..operators import splits as SP
 from ..operators import tagger as TA
 from ..operators import transforms as X
 from ..sources import conllu as CO
 from ..sources import lexicon_tsv, model, tei, treebanks
-from .corpus import GOLD_SQL, SENT_SQL, TOK_SQL, explode_sentences, gold, read, tokens
-from .q_lexicon import ENTRIES_SQL, entries
+from ..storage import stored
+from .corpus import GOLD_SQL, SENT_SQL, TOK_SQL, explode_sentences, gold, nested, read, tokens
+from .q_lexicon import ENTRIES_SQL, entries, test_forms
 from .registry import query
 
 KEY = "doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, CAST(tok_ord AS BIGINT) AS tok_ord"
@@ -44,16 +46,16 @@ def _(spark, d):
 
 @query("format_sentence", BLOCK_SQL + "SELECT doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, block FROM bl")
 def _(spark, d):
-    return longs(CO.format_sentences(gold(spark, d)), "sent_ord")
+    return longs(CO.format_sentences(nested(spark, d)), "sent_ord")
 
 
 @query("write_conllu", BLOCK_SQL + "SELECT doc_id, '# newdoc id = ' || CAST(doc_id AS VARCHAR) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY sent_ord) || chr(10) || chr(10) AS value FROM bl GROUP BY doc_id")
 def _(spark, d):
-    return CO.write_conllu(gold(spark, d))
+    return CO.write_conllu(nested(spark, d))
 
 
 def conllu_files(spark, d):
-    return CO.write_conllu(gold(spark, d)).select(F.concat(F.lit("/c/"), F.col("doc_id").cast("string"), F.lit(".conllu")).alias("file"), "value")
+    return CO.write_conllu(nested(spark, d)).select(F.concat(F.lit("/c/"), F.col("doc_id").cast("string"), F.lit(".conllu")).alias("file"), "value")
 
 
 _READ = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_ord) - 1 AS BIGINT) AS sent_ord, CAST(tok_ord AS BIGINT) AS tok_ord, form, nullif(lemma, '') AS lemma, tag AS upos, xpos, nullif(feats, '_') AS feats, CAST(head AS BIGINT) AS head, deprel, nullif(reg, '') AS reg, space_after FROM gold"
@@ -107,15 +109,14 @@ def _(spark, d):
 
 @query("write_plain_text", GOLD_SQL + "SELECT doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, string_agg(form || CASE WHEN space_after = false THEN '' ELSE ' ' END, '' ORDER BY tok_ord) AS value FROM gold GROUP BY ALL")
 def _(spark, d):
-    g = gold(spark, d).groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "form", "space_after"))).alias("ts"))
-    text = F.array_join(F.transform("ts", lambda t: F.concat(t["form"], F.when(~t["space_after"], "").otherwise(" "))), "")
-    return longs(g.select("doc_id", "sent_ord", text.alias("value")), "sent_ord")
+    text = F.array_join(F.transform("s.ts", lambda t: F.concat(t["form"], F.when(~t["space_after"], "").otherwise(" "))), "")
+    return longs(nested(spark, d).select("doc_id", F.explode("sents").alias("s")).select("doc_id", "s.sent_ord", text.alias("value")), "sent_ord")
 
 
 @query("write_tokenized_text", TOK_SQL + "SELECT doc_id, CAST(sent_ord AS BIGINT) AS sent_ord, string_agg(form, ' ' ORDER BY tok_ord) AS value FROM tok GROUP BY ALL")
 def _(spark, d):
-    g = tokens(spark, d).groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "form"))).alias("ts"))
-    return longs(g.select("doc_id", "sent_ord", F.array_join(F.col("ts.form"), " ").alias("value")), "sent_ord")
+    s = explode_sentences(read(spark, d, "documents")).select("doc_id", "sent_ord", T.tokenize_ud("sent").alias("f"))
+    return longs(s.filter(F.size("f") > 0).select("doc_id", "sent_ord", F.array_join("f", " ").alias("value")), "sent_ord")
 
 
 @query("write_json", SENT_SQL + """SELECT doc_id, '{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"n_sentences":' || CAST(count(*) AS VARCHAR) || '}' AS json FROM sen GROUP BY doc_id""")
@@ -130,7 +131,7 @@ def _(spark, d):
 
 
 def tei_files(spark, d):
-    return tei.write_tei(gold(spark, d)).select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("file"), "value")
+    return tei.write_tei(nested(spark, d)).select(F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("file"), "value")
 
 
 _TEI = "SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_ord) - 1 AS BIGINT) AS sent_ord, CAST(tok_ord AS BIGINT) AS tok_ord, form, tag AS upos, xpos, nullif(reg, '') AS reg, space_after FROM gold"
@@ -163,7 +164,7 @@ SELECT doc_id, '<TEI><text id="' || CAST(doc_id AS VARCHAR) || '">' || chr(10) |
 
 
 for _name in ("write_teitok", "write_teitok_python", "write_teitok_native"):
-    query(_name, _tei_sql())(lambda spark, d: tei.write_tei(gold(spark, d)))
+    query(_name, _tei_sql())(lambda spark, d: tei.write_tei(nested(spark, d)))
 
 
 @query("attr_fallback", GOLD_SQL + "SELECT coalesce(nullif(nullif(reg, ''), '--'), nullif(nullif(feats, ''), '--'), tag) AS v, count(*) AS n FROM gold GROUP BY 1")
@@ -173,7 +174,7 @@ def _(spark, d):
 
 @query("remap_attributes", _tei_sql("msd", "nform"))
 def _(spark, d):
-    return tei.write_tei(gold(spark, d), {"xpos": "msd", "reg": "nform"})
+    return tei.write_tei(nested(spark, d), {"xpos": "msd", "reg": "nform"})
 
 
 @query("insert_tokens")
@@ -267,10 +268,10 @@ query("implicit_mwt")(lambda spark, d: X.implicit_mwt(gold(spark, d)))
 query("merge_contractions")(lambda spark, d: X.merge_contractions(gold(spark, d)))
 
 
-@query("sentence_correspondence", GOLD_SQL + ", t AS (SELECT doc_id, sent_ord, 'w-' || CAST(sent_ord AS VARCHAR) || '-' || CAST(tok_ord AS VARCHAR) AS tokid FROM gold WHERE tok_ord < 3), c AS (SELECT doc_id, 'w-' || CAST(s + 1 AS VARCHAR) || '-0' AS tokid, max(s) AS c FROM (SELECT DISTINCT doc_id, sent_ord AS s FROM gold WHERE sent_ord % 2 = 0) GROUP BY ALL) SELECT t.doc_id, t.tokid, CAST(coalesce(c, sent_ord) AS BIGINT) AS sent_ord FROM t LEFT JOIN c USING (doc_id, tokid)")
+@query("sentence_correspondence", GOLD_SQL + ", t AS (SELECT doc_id, sent_ord, 'w-' || CAST(sent_ord AS VARCHAR) || '-' || CAST(tok_ord AS VARCHAR) AS tokid FROM gold), c AS (SELECT doc_id, 'w-' || CAST(s + 1 AS VARCHAR) || '-0' AS tokid, max(s) AS c FROM (SELECT DISTINCT doc_id, sent_ord AS s FROM gold WHERE sent_ord % 2 = 0) GROUP BY ALL) SELECT t.doc_id, t.tokid, CAST(coalesce(c, sent_ord) AS BIGINT) AS sent_ord FROM t LEFT JOIN c USING (doc_id, tokid)")
 def _(spark, d):
     g = gold(spark, d)
-    t = g.filter("tok_ord < 3").select("doc_id", "sent_ord", F.concat(F.lit("w-"), F.concat_ws("-", F.col("sent_ord").cast("string"), F.col("tok_ord").cast("string"))).alias("tokid"))
+    t = g.select("doc_id", "sent_ord", F.concat(F.lit("w-"), F.concat_ws("-", F.col("sent_ord").cast("string"), F.col("tok_ord").cast("string"))).alias("tokid"))
     s = g.filter("sent_ord % 2 = 0").select("doc_id", "sent_ord").distinct().withColumn("corresp", F.concat(F.lit("#w-"), (F.col("sent_ord") + 1).cast("string"), F.lit("-0")))
     return longs(X.sentence_correspondence(s, t).select("doc_id", "tokid", "sent_ord"), "sent_ord")
 
@@ -286,10 +287,11 @@ def _(spark, d):
     return h.select(F.concat_ws("-", F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")), F.col("doc_id").cast("string"), F.col("sent_ord").cast("string")).alias("sent_id"))
 
 
-@query("preserve_existing_tags", ENTRIES_SQL + "SELECT count(*) AS n FROM lex WHERE (form LIKE 'a%' AND tag = 'Vc') OR form NOT LIKE 'a%'")
+@query("preserve_existing_tags", ENTRIES_SQL + "SELECT form, tag, lemma, xpos, feats, reg, n FROM lex WHERE (form LIKE 'a%' AND tag = 'Vc') OR form NOT LIKE 'a%'")
 def _(spark, d):
     own = F.when(F.col("form").startswith("a"), "Vc").otherwise("_")
-    return X.preserve_existing_tags(entries(spark, d).withColumn("own_tag", own).withColumn("own_feats", F.lit("_"))).agg(L.n())
+    kept = X.preserve_existing_tags(entries(spark, d).withColumn("own_tag", own).withColumn("own_feats", F.lit("_")))
+    return kept.select("form", "tag", "lemma", "xpos", "feats", "reg", "n")
 
 
 @query("validate", GOLD_SQL + ", g AS (SELECT doc_id, sent_ord, count(*) AS n, count(*) FILTER (WHERE h = 0) AS roots, max(h) AS top FROM (SELECT *, CASE WHEN doc_id % 5 = 0 AND tok_ord = 3 THEN 0 WHEN doc_id % 7 = 0 AND tok_ord = 1 THEN 9999999 ELSE head END AS h FROM gold) GROUP BY ALL) SELECT problem, count(*) AS n FROM (SELECT 'not one root' AS problem FROM g WHERE roots <> 1 UNION ALL SELECT 'head out of range' FROM g WHERE top > n) GROUP BY 1")
@@ -314,23 +316,40 @@ def _(spark, d):
 
 @query("refine_lemma")
 def _(spark, d):
-    forms = gold(spark, d).filter("doc_id % 2 = 1").select("form", "tag").distinct()
+    forms = gold(spark, d).select("form", "tag").distinct()
     return LR.refine_lemma(forms, LR.rule_table(entries(spark, d)))
 
 
-def tagged(spark, d, log_space=False):
+def tagged(spark, d, log_space=False, settings=None):
     g = gold(spark, d)
-    train, test = g.filter("doc_id % 2 = 0"), g.filter("doc_id % 2 = 1")
-    e = L.vocab_counts(train)
-    cells = LU.candidate_lattice(test.select("form").distinct(), e, L.ending_index(e), L.type_counts(e))
+    train = g.filter("doc_id % 2 = 0")
+    e = stored(L.vocab_counts(train), "lexicon")
+    cells = LU.candidate_lattice(test_forms(spark, d), e, L.ending_index(e), L.type_counts(e))
     m = TA.tag_model(L.transition_counts(train), L.case_counts(train), L.start_counts(train))
-    return TA.viterbi_tag(test, cells, m, log_space=log_space), test
+    return TA.viterbi_tag(g, cells, m, settings, log_space=log_space), g
+
+
+@query("process_text")
+def _(spark, d):
+    """Whole texts through all steps, with a model that the even documents train."""
+    train = gold(spark, d).filter("doc_id % 2 = 0")
+    tables = P.train_tables(train, L.mwt_parts(train.filter(F.col("form").rlike(r"\p{L}['-]\p{L}")).select("form", F.array_join(F.split("form", "['-]"), "+").alias("parts"))))
+    return P.process_text(read(spark, d, "documents"), tables)
 
 
 query("viterbi_tag")(lambda spark, d: tagged(spark, d)[0])
 query("viterbi_log")(lambda spark, d: tagged(spark, d, True)[0])
-query("viterbi_pybind")(lambda spark, d: tagged(spark, d)[0])
-query("beam_prune")(lambda spark, d: tagged(spark, d)[0].groupBy("pred").agg(L.n()))
+#: A beam that cells of several tags reach, with a threshold that their lesser candidates miss.
+query("beam_prune")(lambda spark, d: tagged(spark, d, settings=TA.Settings(beam=1, threshold=0.3))[0])
+
+
+@query("viterbi_pybind")
+def _(spark, d):
+    g = gold(spark, d)
+    train = g.filter("doc_id % 2 = 0")
+    e = stored(L.vocab_counts(train, ["form", "tag"]), "lexicon")
+    m = TA.tag_model(L.transition_counts(train), starts=L.start_counts(train))
+    return TA.viterbi_tag(g, LU.heuristic_lattice(test_forms(spark, d), e, L.type_counts(e)), m, log_space=True)
 
 
 @query("update_token", GOLD_SQL + f"SELECT {KEY}, CASE WHEN tok_ord % 2 = 0 THEN tag ELSE 'X' || tag END AS tag FROM gold")
@@ -349,19 +368,31 @@ def _(spark, d):
 
 @query("finetune")
 def _(spark, d):
+    """Coordinate search over the tagger's whole space of settings, learned from one split of the
+    documents and scored on the other (a tenth, by a hash of the id). The lattice of the latter
+    is stored; an evaluation is one job over it. Jobs run while the query is built."""
     g = gold(spark, d)
-    train, test = g.filter("doc_id % 2 = 0"), g.filter("doc_id % 2 = 1")
-    e = L.vocab_counts(train)
-    truth = test.select("doc_id", "sent_ord", "tok_ord", "tag")
-    cells = LU.candidate_lattice(test.select("form").distinct(), e, L.ending_index(e), L.type_counts(e)).cache()
+    dev_part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    train, dev = g.filter(~dev_part), stored(g.filter(dev_part), "dev")
+    e = stored(L.vocab_counts(train), "lexicon")
+    ends = stored(L.ending_index(e), "endings")
     m = TA.tag_model(L.transition_counts(train), L.case_counts(train))
+    types = stored(L.type_counts(e), "types")
+    cells = {}
+
+    def lattice(s):
+        key = (s["endlen"], s["endretry"], s["ending_decay_base"])
+        if key not in cells:
+            cells[key] = stored(LU.candidate_lattice(dev.select("form").distinct(), e, ends, types, *key), "cells")
+        return cells[key]
 
     def accuracy(s):
-        t = TA.viterbi_tag(test, cells, m, TA.Settings(**s)).join(truth, ["doc_id", "sent_ord", "tok_ord"])
+        t = TA.viterbi_tag(dev, lattice(s), m, TA.Settings(**{k: v for k, v in s.items() if not k.startswith("end")}), carry=("tag",))
         return t.agg(F.avg((F.col("pred") == F.col("tag")).cast("int"))).first()[0] or 0.0
 
-    best, score, calls = TA.finetune(accuracy, {"factor": 1.0, "smooth": 0.0}, {"smooth": [1.0]}, most=3)
-    return spark.createDataFrame([(best["factor"], best["smooth"], float(score), calls)], "factor double, smooth double, accuracy double, calls int")
+    best, score, calls = TA.finetune(accuracy, TA.DEFAULTS, TA.SEARCH_SPACE)
+    rows = [(k, float(v), float(score), calls) for k, v in best.items()]
+    return spark.createDataFrame(rows, "setting string, value double, accuracy double, calls int")
 
 
 @query("softmax_argmax", "SELECT doc_id, label, round(1 / (1 + exp(-abs(CAST(n_chars % 7 AS DOUBLE) - 3))), 6) AS p FROM (SELECT doc_id, n_chars, CASE WHEN n_chars % 7 >= 3 THEN 'b' ELSE 'a' END AS label FROM documents)")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import lexicon as L
 from ..operators import lookup as LU
 from ..operators import normalize as N
+from ..storage import stored
 from .corpus import GOLD_SQL, TOK_SQL, gold, read, tokens
 from .q_text import CASE_SQL
 from .registry import query
 
 ENTRIES_SQL = GOLD_SQL + ", lex AS (SELECT form, lemma, xpos, tag, feats, reg, count(*) AS n FROM gold WHERE doc_id % 2 = 0 GROUP BY ALL)\n"
-TEST_SQL = ENTRIES_SQL + ", frm AS (SELECT DISTINCT form FROM gold WHERE doc_id % 2 = 1)\n"
+TEST_SQL = ENTRIES_SQL + ", frm AS (SELECT DISTINCT form FROM gold)\n"
 END_SQL = ", ends AS (SELECT right(form, k) AS ending, tag, count(*) AS n FROM (SELECT form, tag, unnest(generate_series(1, least(6, length(form)))) AS k FROM lex) GROUP BY 1, 2)\n"
 
 
@@ -21,11 +22,13 @@ def train(spark, d):
 
 
 def entries(spark, d):
+    """The lexicon of the even documents; written once where a query reads it several times."""
     return L.vocab_counts(train(spark, d))
 
 
 def test_forms(spark, d):
-    return gold(spark, d).filter("doc_id % 2 = 1").select("form").distinct()
+    """The forms of all tokens: lexicons are learned from the even documents, and looked up for all."""
+    return tokens(spark, d).select("form").distinct()
 
 
 @query("vocab_counts", GOLD_SQL + "SELECT form, lemma, xpos, tag, feats, reg, count(*) AS n FROM gold GROUP BY ALL")
@@ -134,11 +137,21 @@ def _(spark, d):
     return N.morph_variation(e.select("form").distinct(), L.suffix_evidence(pairs(spark, d)), N.explicit_reg(e), e)
 
 
-@query("pattern_substitution", VARIANTS_SQL + PAT_SQL + """, al AS (SELECT DISTINCT form FROM ent)
-SELECT form, max({'n': n, 'o': old, 'w': new, 'r': reg}).r AS reg FROM (SELECT form, old, new, n, replace(form, old, new) AS reg FROM al JOIN pat ON contains(form, old)) WHERE reg IN (SELECT form FROM al) GROUP BY form""")
+_STEPS_SQL = VARIANTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + PAT_SQL + """, kn AS (SELECT form, CASE WHEN doc_id % 3 = 0 THEN '' ELSE reg END AS reg FROM gold WHERE doc_id % 2 = 0 GROUP BY ALL),
+own AS (SELECT lower(form) AS l, max(CASE WHEN reg <> '' AND lower(reg) <> lower(form) THEN 1 ELSE 0 END) AS own FROM kn GROUP BY 1),
+wk AS (SELECT w, min(better) AS better FROM (SELECT lower(form) AS w, min(CASE WHEN reg <> '' AND lower(reg) <> lower(form) THEN lower(reg) END) AS better FROM kn GROUP BY 1 UNION ALL SELECT lower(reg), NULL FROM kn WHERE reg <> '') GROUP BY w),
+pp AS (SELECT old, new, row_number() OVER (ORDER BY n DESC, old, new) AS i FROM pat WHERE strlen(old) > strlen(new) OR (strlen(old) = strlen(new) AND strlen(old) > 1)),
+st AS (SELECT f.form, lower(f.form) AS cur, CAST(0 AS BIGINT) AS i FROM (SELECT DISTINCT form FROM gold) f LEFT JOIN own ON lower(f.form) = own.l WHERE coalesce(own, 1) = 1
+ UNION ALL SELECT st.form, CASE WHEN wk.w IS NOT NULL THEN coalesce(wk.better, replace(cur, old, new)) ELSE cur END, st.i + 1 FROM st JOIN pp ON pp.i = st.i + 1 LEFT JOIN wk ON wk.w = replace(cur, old, new) AND replace(cur, old, new) <> cur)
+SELECT form, cur AS reg FROM st WHERE i = (SELECT count(*) FROM pp) AND cur <> lower(form)"""
+
+
+@query("pattern_substitution", _STEPS_SQL)
 def _(spark, d):
-    e = variants(spark, d)
-    return N.pattern_substitution(e.select("form").distinct(), L.substitution_patterns(pairs(spark, d)), e)
+    """All forms against the lexicon of the even documents; patterns are those of all."""
+    g = gold(spark, d).withColumn("reg", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("reg")))
+    known = stored(g.filter("doc_id % 2 = 0").select("form", "reg").distinct(), "known")
+    return N.pattern_substitution(test_forms(spark, d), L.substitution_patterns(pairs(spark, d)), known)
 
 
 @query("normalize_word", REGS_SQL + ", td AS (SELECT DISTINCT form FROM ent WHERE form NOT IN (SELECT reg FROM prs)), todo AS (SELECT form FROM td WHERE form NOT IN (SELECT form FROM regs))\n" + MORPH_SQL + """
@@ -206,13 +219,13 @@ lw AS (SELECT rest.form, l2.tag, greatest(l2.n, 1) * CAST(0.1 AS DOUBLE) AS weig
 
 @query("lexicon_exact", LEX2_SQL + "SELECT form, tag, CAST(greatest(n, 1) AS DOUBLE) AS weight FROM frm JOIN l2 USING (form)")
 def _(spark, d):
-    e = entries(spark, d).groupBy("form", "tag").agg(F.sum("n").alias("n"))
+    e = L.vocab_counts(train(spark, d), ["form", "tag"])
     return LU.lexicon_exact(test_forms(spark, d), e)
 
 
 @query("lexicon_lower", LEX2_SQL + LOWER_SQL + "SELECT form, tag, round(weight, 6) AS weight FROM lw")
 def _(spark, d):
-    e = entries(spark, d).groupBy("form", "tag").agg(F.sum("n").alias("n"))
+    e = stored(L.vocab_counts(train(spark, d), ["form", "tag"]), "lexicon")
     return LU.lexicon_lower(test_forms(spark, d), e).withColumn("weight", F.round("weight", 6))
 
 
@@ -233,34 +246,34 @@ al AS (SELECT form, tag, CAST(greatest(n, 1) AS DOUBLE) AS w, 'lexicon' AS sourc
  UNION ALL SELECT form, tag, sum(weight), 'ending' FROM el GROUP BY ALL UNION ALL SELECT form, tag, w, 'type' FROM r3, ty)
 SELECT form, tag, source, round(w / sum(w) OVER (PARTITION BY form), 6) AS p FROM al""")
 def _(spark, d):
-    e = entries(spark, d)
+    e = stored(entries(spark, d), "lexicon")
     return LU.candidate_lattice(test_forms(spark, d), e, L.ending_index(e), L.type_counts(e)).withColumn("p", F.round("p", 6))
 
 
-@query("tagger_stats", LEX2_SQL + "SELECT count(*) AS word_count, count(*) FILTER (WHERE form NOT IN (SELECT form FROM lex)) AS oov_count FROM gold WHERE doc_id % 2 = 1")
+@query("tagger_stats", LEX2_SQL + "SELECT count(*) AS word_count, count(*) FILTER (WHERE form NOT IN (SELECT form FROM lex)) AS oov_count FROM gold")
 def _(spark, d):
     known = entries(spark, d).select("form", F.lit(True).alias("known")).distinct()
-    forms = L.vocab_counts(gold(spark, d).filter("doc_id % 2 = 1"), ["form"])
+    forms = L.vocab_counts(tokens(spark, d), ["form"])
     return forms.join(known, "form", "left").agg(F.sum("n").alias("word_count"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("oov_count"))
 
 
-@query("xpos_to_combo", MAP_SQL + r""", q AS (SELECT DISTINCT concat(xpos, CASE WHEN doc_id % 3 = 0 THEN '7' ELSE '' END) AS xpos FROM gold WHERE doc_id % 2 = 1),
+@query("xpos_to_combo", MAP_SQL + r""", q AS (SELECT DISTINCT concat(xpos, CASE WHEN doc_id % 3 = 0 THEN '7' ELSE '' END) AS xpos FROM gold),
 e AS (SELECT xpos AS k, max({'n': n, 't': tag, 'f': feats}) AS c FROM mp GROUP BY 1), l AS (SELECT lower(xpos) AS k, max({'n': n, 't': tag, 'f': feats}) AS c FROM mp GROUP BY 1),
 b AS (SELECT regexp_replace(lower(xpos), '[\d[:punct:]]+$', '') AS k, max({'n': n, 't': tag, 'f': feats}) AS c FROM mp GROUP BY 1)
 SELECT xpos, coalesce(e.c, l.c, b.c).t AS upos, coalesce(e.c, l.c, b.c).f AS feats FROM q LEFT JOIN e ON q.xpos = e.k LEFT JOIN l ON lower(q.xpos) = l.k LEFT JOIN b ON regexp_replace(lower(q.xpos), '[\d[:punct:]]+$', '') = b.k""")
 def _(spark, d):
-    q = gold(spark, d).filter("doc_id % 2 = 1").select(F.concat("xpos", F.when(F.col("doc_id") % 3 == 0, "7").otherwise("")).alias("xpos"))
+    q = gold(spark, d).select(F.concat("xpos", F.when(F.col("doc_id") % 3 == 0, "7").otherwise("")).alias("xpos"))
     return LU.xpos_to_combo(q, L.tag_mapping_counts(entries(spark, d)))
 
 
-COMBO_SQL = MAP_SQL + """, q AS (SELECT DISTINCT tag, CASE WHEN doc_id % 3 = 0 THEN split_part(feats, '|', 1) ELSE feats END AS feats FROM gold WHERE doc_id % 2 = 1),
+COMBO_SQL = MAP_SQL + """, q AS (SELECT DISTINCT tag, CASE WHEN doc_id % 3 = 0 THEN split_part(feats, '|', 1) ELSE feats END AS feats FROM gold),
 e AS (SELECT tag, feats, max({'n': n, 'x': xpos}).x AS e FROM mp GROUP BY ALL),
 p AS (SELECT q.tag, q.feats, max({'n': n, 'x': xpos}).x AS p FROM q JOIN mp ON q.tag = mp.tag AND list_has_all(string_split(mp.feats, '|'), string_split(q.feats, '|')) GROUP BY ALL)
 """
 
 
 def combos(spark, d):
-    return gold(spark, d).filter("doc_id % 2 = 1").select("tag", F.when(F.col("doc_id") % 3 == 0, F.split_part("feats", F.lit("|"), F.lit(1))).otherwise(F.col("feats")).alias("feats"))
+    return gold(spark, d).select("tag", F.when(F.col("doc_id") % 3 == 0, F.split_part("feats", F.lit("|"), F.lit(1))).otherwise(F.col("feats")).alias("feats"))
 
 
 @query("combo_to_xpos", COMBO_SQL + "SELECT q.tag, q.feats, coalesce(e, p) AS guess FROM q LEFT JOIN e USING (tag, feats) LEFT JOIN p USING (tag, feats)")
@@ -274,7 +287,7 @@ def _(spark, d):
     return LU.combo_to_xpos(combos(spark, d), m).join(m.select("tag", "feats").distinct(), ["tag", "feats"], "left_anti").filter("guess IS NOT NULL")
 
 
-@query("enrich_tags", COMBO_SQL + ", g AS (SELECT coalesce(e, p) AS guess, q.tag, q.feats FROM q LEFT JOIN e USING (tag, feats) LEFT JOIN p USING (tag, feats)) SELECT coalesce(guess, '_') AS xpos, count(*) AS n FROM (SELECT tag, CASE WHEN doc_id % 3 = 0 THEN split_part(feats, '|', 1) ELSE feats END AS feats FROM gold WHERE doc_id % 2 = 1) t JOIN g USING (tag, feats) GROUP BY 1")
+@query("enrich_tags", COMBO_SQL + ", g AS (SELECT coalesce(e, p) AS guess, q.tag, q.feats FROM q LEFT JOIN e USING (tag, feats) LEFT JOIN p USING (tag, feats)) SELECT coalesce(guess, '_') AS xpos, count(*) AS n FROM (SELECT tag, CASE WHEN doc_id % 3 = 0 THEN split_part(feats, '|', 1) ELSE feats END AS feats FROM gold) t JOIN g USING (tag, feats) GROUP BY 1")
 def _(spark, d):
     c = combos(spark, d)
     g = LU.combo_to_xpos(c, L.tag_mapping_counts(entries(spark, d)))
@@ -313,9 +326,9 @@ def _(spark, d):
     return LU.restore_normalized(t, originals).select("doc_id", F.col("sent_ord").cast("bigint").alias("sent_ord"), F.col("tok_ord").cast("bigint").alias("tok_ord"), "original")
 
 
-@query("lemma_lookup", ENTRIES_SQL + ", q AS (SELECT DISTINCT form, tag FROM gold WHERE doc_id % 2 = 1), a AS (SELECT form, tag, max({'n': n, 'l': lemma}).l AS a FROM lex GROUP BY ALL), b AS (SELECT form, max({'n': n, 'l': lemma}).l AS b FROM lex GROUP BY form) SELECT q.form, q.tag, coalesce(a, b, lower(q.form)) AS guess FROM q LEFT JOIN a USING (form, tag) LEFT JOIN b ON q.form = b.form")
+@query("lemma_lookup", ENTRIES_SQL + ", q AS (SELECT DISTINCT form, tag FROM gold), a AS (SELECT form, tag, max({'n': n, 'l': lemma}).l AS a FROM lex GROUP BY ALL), b AS (SELECT form, max({'n': n, 'l': lemma}).l AS b FROM lex GROUP BY form) SELECT q.form, q.tag, coalesce(a, b, lower(q.form)) AS guess FROM q LEFT JOIN a USING (form, tag) LEFT JOIN b ON q.form = b.form")
 def _(spark, d):
-    return LU.lemma_lookup(gold(spark, d).filter("doc_id % 2 = 1"), entries(spark, d))
+    return LU.lemma_lookup(gold(spark, d), entries(spark, d))
 
 
 @query("train_model", TRANS_SQL + "SELECT 'lexicon' AS name, count(*) AS n_rows FROM (SELECT DISTINCT form, lemma, xpos, tag, feats, reg FROM gold) UNION ALL SELECT 'transitions', count(*) FROM tr UNION ALL SELECT 'starts', count(DISTINCT tag) FROM gold WHERE tok_ord = 0 UNION ALL SELECT 'types', count(DISTINCT tag) FROM gold")

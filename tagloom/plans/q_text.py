@@ -51,12 +51,7 @@ def _(spark, d):
     return tokens(spark, d).groupBy("doc_id").agg(F.count_if(s).alias("n_space"), F.count_if(~s).alias("n_none"), F.count_if(s.isNull()).alias("n_last"))
 
 
-@query("process_text")
-def _(spark, d):
-    return gold(spark, d).select("doc_id", "sent_ord", "tok_ord", "form", "tag", "lemma", "space_after")
-
-
-CASE_SQL = r"CASE WHEN form = '' THEN 'll' WHEN regexp_matches(form, '^\p{Lu}') AND form = upper(form) AND length(form) > 1 THEN 'UU' WHEN regexp_matches(form, '^\p{Lu}') THEN 'Ul' WHEN regexp_matches(form, '^\p{Ll}') THEN 'll' ELSE '??' END"
+CASE_SQL = r"CASE WHEN form = '' THEN 'll' WHEN regexp_matches(form, '^\p{Lu}') AND regexp_matches(form, '\p{Lu}$') AND length(form) > 1 THEN 'UU' WHEN regexp_matches(form, '^\p{Lu}') THEN 'Ul' WHEN regexp_matches(form, '^\p{Ll}') THEN 'll' ELSE '??' END"
 
 
 @query("form_case", TOK_SQL + f"SELECT {CASE_SQL} AS wcase, count(*) AS n FROM tok GROUP BY 1")
@@ -107,13 +102,14 @@ def _(spark, d):
     return df.select("name", FE.map_feature("name").alias("ud"))
 
 
-@query("clean_misc_key", r"""
-WITH k AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(trim(p_name || '_' || CAST(p_size AS VARCHAR)), '^#+\s*', ''), '\[[^\]]*\]', '', 'g'), '_?\d+$', '') AS k FROM part)
-SELECT CASE WHEN regexp_matches(k, '^[A-Za-z0-9_]+$') THEN k END AS key, count(*) AS n FROM k GROUP BY 1""")
+_KEYS = "CASE p_partkey % 8 WHEN 0 THEN '##' || p_brand || '[x]' WHEN 1 THEN p_brand || '(88)' WHEN 2 THEN p_brand || '-13' WHEN 3 THEN p_brand WHEN 4 THEN p_type || '.5' WHEN 5 THEN 'é' || p_brand WHEN 6 THEN 'Field_2' ELSE '--' || p_type || '_' END"
+
+
+@query("clean_misc_key", rf"""
+WITH r AS (SELECT DISTINCT {_KEYS} AS raw FROM part), a AS (SELECT raw, trim(regexp_replace(regexp_replace(trim(regexp_replace(raw, '^#+', '')), '[\[(].*$', ''), '[-_.]\d+$', '')) AS k FROM r)
+SELECT raw, CASE WHEN NOT regexp_matches(k, '[^\x00-\x7F]') THEN nullif(trim(regexp_replace(k, '[^A-Za-z0-9]+', '_', 'g'), '_'), '') END AS key FROM a""")
 def _(spark, d):
-    raw = read(spark, d, "part").select(F.concat_ws("_", "p_name", F.col("p_size").cast("string")).alias("raw"))
-    k = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim("raw"), r"^#+\s*", ""), r"\[[^\]]*\]", ""), r"_?\d+$", "")
-    return raw.select(k.alias("k"), T.clean_misc_key("raw").alias("key")).distinct().groupBy("key").agg(n_rows())
+    return read(spark, d, "part").selectExpr(f"{_KEYS} AS raw").distinct().select("raw", T.clean_misc_key("raw").alias("key"))
 
 
 _MISC = "concat('Translit=', lower(form), CASE WHEN space_after THEN '' ELSE '|SpaceAfter=No' END, '|Len=', CAST(length(form) AS STRING))"
@@ -154,11 +150,11 @@ def _(spark, d):
     return tokens(spark, d).filter(T.punctuation_only("form", "prev")).groupBy("form", "prev").agg(n_rows())
 
 
-_LANGS = ("Sorbian (Upper)", "French (GSD)", "Church Slavonic (Old)", "English", " Sami (Northern) ", "Greek (Ancient)")
+_LANGS = ("Sorbian (Upper)", "lower sorbian", "French (GSD)", "Church Slavonic (PROIEL)", "English", " Sami (Northern) ", "Sanskrit (Vedic)", "Latin (ITTB) x")
 
 
-@query("clean_language_name", """SELECT * FROM (VALUES ('Sorbian (Upper)', 'Upper Sorbian'), ('French (GSD)', 'French'), ('Church Slavonic (Old)', 'Church Slavonic'),
- ('English', 'English'), (' Sami (Northern) ', 'Northern Sami'), ('Greek (Ancient)', 'Ancient Greek')) t(name, cleaned)""")
+@query("clean_language_name", """SELECT * FROM (VALUES ('Sorbian (Upper)', 'Upper Sorbian'), ('lower sorbian', 'Lower Sorbian'), ('French (GSD)', 'French (GSD)'),
+ ('Church Slavonic (PROIEL)', 'Church Slavonic'), ('English', 'English'), (' Sami (Northern) ', 'Sami (Northern)'), ('Sanskrit (Vedic)', 'Sanskrit'), ('Latin (ITTB) x', 'Latin (ITTB) x')) t(name, cleaned)""")
 def _(spark, d):
     return spark.createDataFrame([(x,) for x in _LANGS], "name string").select("name", T.clean_language_name("name").alias("cleaned"))
 
@@ -221,23 +217,25 @@ def _(spark, d):
 
 
 @query("is_oov", TOK_SQL + """, voc AS (SELECT DISTINCT form FROM tok WHERE doc_id % 2 = 0)
-SELECT CAST(count(*) AS BIGINT) AS n_oov FROM tok WHERE doc_id % 2 = 1 AND form NOT IN (SELECT form FROM voc) AND lower(form) NOT IN (SELECT form FROM voc)""")
+SELECT form, count(*) AS n, form NOT IN (SELECT form FROM voc) AND lower(form) NOT IN (SELECT form FROM voc) AS oov FROM tok GROUP BY form""")
 def _(spark, d):
+    """All forms against the vocabulary of the even documents."""
     t = tokens(spark, d)
     voc = t.filter("doc_id % 2 = 0").select("form").distinct()
-    forms = t.filter("doc_id % 2 = 1").groupBy("form").agg(n_rows())
-    unknown = forms.join(voc, "form", "left_anti").withColumn("low", F.lower("form"))
-    return unknown.join(voc.select(F.col("form").alias("low")), "low", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_oov"))
+    forms = t.groupBy("form").agg(n_rows())
+    exact, low = voc.select(F.col("form").alias("_a")), voc.select(F.col("form").alias("_b"))
+    j = forms.join(exact, F.col("form") == F.col("_a"), "left").join(low, F.lower("form") == F.col("_b"), "left")
+    return j.select("form", "n", (F.col("_a").isNull() & F.col("_b").isNull()).alias("oov"))
 
 
 @query("natural_sort", r"""
 SELECT p_partkey, CAST(row_number() OVER (ORDER BY regexp_replace(CAST(p_size AS VARCHAR), '^', repeat('0', 20 - length(CAST(p_size AS VARCHAR)))), lower(p_name), p_partkey) AS BIGINT) AS rank FROM part""")
 def _(spark, d):
-    from pyspark.sql import Window
+    from ..operators.catalog import ranked
 
     key = T.natural_sort_key(F.concat(F.col("p_size").cast("string"), F.lit(" ")))
     p = read(spark, d, "part").select("p_partkey", F.trim(key).alias("k"), F.lower("p_name").alias("l"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("k", "l", "p_partkey")).cast("bigint").alias("rank"))
+    return ranked(p, "k", "l", "p_partkey").select("p_partkey", "rank")
 
 
 @query("detect_input_format", r"""

@@ -103,9 +103,10 @@ def format_misc(pairs: list[Column]) -> Column:
     return escape(F.array_join(F.filter(F.array(*pairs), lambda x: x.isNotNull()), "|"))
 
 
-def standard_misc(reg="reg", tokid=None, space_after="space_after", last=None) -> Column:
-    no_space = ~F.col(space_after) if last is None else ~F.col(space_after) & ~last
-    parts = [F.when(F.coalesce(F.col(reg), F.lit("")) != "", F.concat(F.lit("Normalization="), F.col(reg)))]
+def standard_misc(reg="reg", space_after="space_after", tokid=None, last=None) -> Column:
+    reg, space_after = (F.col(c) if isinstance(c, str) else c for c in (reg, space_after))
+    no_space = ~space_after if last is None else ~space_after & ~last
+    parts = [F.when(F.coalesce(reg, F.lit("")) != "", F.concat(F.lit("Normalization="), reg))]
     if tokid is not None:
         t = F.col(tokid) if isinstance(tokid, str) else tokid
         parts.append(F.when(t.isNotNull() & ~t.rlike(r"^s\d+-t\d+$"), F.concat(F.lit("TokId="), t)))
@@ -119,21 +120,36 @@ def format_token_line(tok_id, form, lemma, upos, xpos, feats, head, deprel, deps
     return F.concat_ws("\t", *[F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("_")) for c in cells])
 
 
-def format_sentences(tokens: DataFrame) -> DataFrame:
-    """doc_id, sent_ord, block: comments and token lines of each sentence."""
-    line = format_token_line(F.col("tok_ord") + 1, "form", "lemma", "tag", "xpos", "feats", "head", "deprel", F.lit(None), standard_misc())
-    g = tokens.groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", "form", "space_after", line.alias("line")))).alias("ts"))
-    text = F.trim(F.array_join(F.transform("ts", lambda t: F.concat(t["form"], F.when(t["space_after"], " ").otherwise(""))), ""))
-    sent_id = F.concat_ws("-", F.col("doc_id").cast("string"), (F.col("sent_ord") + 1).cast("string"))
-    head = F.concat(F.lit("# sent_id = "), sent_id, F.lit("\n# text = "), text, F.lit("\n"))
-    return g.select("doc_id", "sent_ord", F.concat(head, F.array_join(F.transform("ts", lambda t: t["line"]), "\n")).alias("block"))
+def nest_sentences(tokens: DataFrame) -> DataFrame:
+    """doc_id, sents of a token table: one shuffle by document. Tables that still have their
+    documents' arrays need none (``sents`` is the same there)."""
+    g = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_ord", "tok_ord", *[c for c in tokens.columns if c not in ("doc_id", "sent_ord", "tok_ord")]))).alias("ts"))
+    ords = F.array_sort(F.array_distinct(F.col("ts.sent_ord")))
+    return g.select("doc_id", F.transform(ords, lambda o: F.struct(o.alias("sent_ord"), F.filter("ts", lambda t: t["sent_ord"] == o).alias("ts"))).alias("sents"))
 
 
-def write_conllu(tokens: DataFrame) -> DataFrame:
-    """doc_id, value: each document's CoNLL-U text."""
-    s = format_sentences(tokens).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_ord", "block"))).alias("bs"))
-    body = F.array_join(F.transform("bs", lambda b: b["block"]), "\n\n")
-    return s.select("doc_id", F.concat(F.lit("# newdoc id = "), F.col("doc_id").cast("string"), F.lit("\n"), body, F.lit("\n\n")).alias("value"))
+def sentence_block(doc_id, sent) -> Column:
+    """Comments and token lines of a sentence (sent_ord, ts)."""
+    def line(t):
+        cells = [(t["tok_ord"] + 1).cast("string"), *[t[c].cast("string") for c in ("form", "lemma", "tag", "xpos", "feats", "head", "deprel")], F.lit(None), standard_misc(t["reg"], t["space_after"])]
+        return format_token_line(*cells)
+
+    ts = sent["ts"]
+    text = F.trim(F.array_join(F.transform(ts, lambda t: F.concat(t["form"], F.when(t["space_after"], " ").otherwise(""))), ""))
+    sent_id = F.concat_ws("-", F.col(doc_id).cast("string"), (sent["sent_ord"] + 1).cast("string"))
+    return F.concat(F.lit("# sent_id = "), sent_id, F.lit("\n# text = "), text, F.lit("\n"), F.array_join(F.transform(ts, line), "\n"))
+
+
+def format_sentences(nested: DataFrame) -> DataFrame:
+    """doc_id, sent_ord, block: comments and token lines of each sentence of (doc_id, sents)."""
+    s = nested.select("doc_id", F.explode("sents").alias("s"))
+    return s.select("doc_id", F.col("s.sent_ord").alias("sent_ord"), sentence_block("doc_id", F.col("s")).alias("block"))
+
+
+def write_conllu(nested: DataFrame) -> DataFrame:
+    """doc_id, value: each document's CoNLL-U text, made in its own row of (doc_id, sents)."""
+    body = F.array_join(F.transform("sents", lambda s: sentence_block("doc_id", s)), "\n\n")
+    return nested.select("doc_id", F.concat(F.lit("# newdoc id = "), F.col("doc_id").cast("string"), F.lit("\n"), body, F.lit("\n\n")).alias("value"))
 
 
 def detag_lines(lines: Column) -> Column:

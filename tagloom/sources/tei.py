@@ -100,8 +100,8 @@ def xml_escape(c):
     return F.replace(out, F.lit('"'), F.lit("&quot;"))
 
 
-def write_tei(tokens: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, value: a TEI document of each; ``names`` renames attributes.
+def write_tei(nested: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, value: a TEI document of each row of (doc_id, sents); ``names`` renames attributes.
 
     Null, empty and ``_`` values are left out, but for lemma.
     """
@@ -109,17 +109,20 @@ def write_tei(tokens: DataFrame, names: dict[str, str] | None = None) -> DataFra
     attr = lambda n, c, keep=False: F.when(
         c.isNotNull() & (c != "") & (F.lit(keep) | (c != "_")), F.concat(F.lit(f' {names.get(n, n)}="'), xml_escape(c), F.lit('"'))
     ).otherwise("")
-    place = F.concat_ws("-", F.lit("w"), (F.col("sent_ord") + 1).cast("string"), (F.col("tok_ord") + 1).cast("string"))
-    tok = F.concat(
-        F.lit("<tok"), attr("id", place), attr("lemma", F.col("lemma"), True), attr("upos", F.col("tag")), attr("xpos", F.col("xpos")), attr("feats", F.col("feats")),
-        attr("head", F.col("head").cast("string")), attr("deprel", F.col("deprel")), attr("reg", F.col("reg")), F.lit(">"), xml_escape("form"), F.lit("</tok>"),
-        F.when(F.col("space_after"), " ").otherwise(""),
-    )
-    s = tokens.groupBy("doc_id", "sent_ord").agg(F.array_sort(F.collect_list(F.struct("tok_ord", tok.alias("x")))).alias("ts"))
-    sent = F.concat(F.lit('<s id="s-'), (F.col("sent_ord") + 1).cast("string"), F.lit('">'), F.array_join(F.transform("ts", lambda t: t["x"]), ""), F.lit("</s>"))
-    d = s.select("doc_id", "sent_ord", sent.alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_ord", "x"))).alias("ss"))
-    body = F.array_join(F.transform("ss", lambda t: t["x"]), "\n")
-    return d.select("doc_id", F.concat(F.lit('<TEI><text id="'), F.col("doc_id").cast("string"), F.lit('">\n'), body, F.lit("\n</text></TEI>")).alias("value"))
+
+    def sentence(s):
+        def token(t):
+            place = F.concat_ws("-", F.lit("w"), (s["sent_ord"] + 1).cast("string"), (t["tok_ord"] + 1).cast("string"))
+            values = [("upos", t["tag"]), ("xpos", t["xpos"]), ("feats", t["feats"]), ("head", t["head"].cast("string")), ("deprel", t["deprel"]), ("reg", t["reg"])]
+            return F.concat(
+                F.lit("<tok"), attr("id", place), attr("lemma", t["lemma"], True), *[attr(n, c) for n, c in values],
+                F.lit(">"), xml_escape(t["form"]), F.lit("</tok>"), F.when(t["space_after"], " ").otherwise(""),
+            )
+
+        return F.concat(F.lit('<s id="s-'), (s["sent_ord"] + 1).cast("string"), F.lit('">'), F.array_join(F.transform(s["ts"], token), ""), F.lit("</s>"))
+
+    body = F.array_join(F.transform("sents", sentence), "\n")
+    return nested.select("doc_id", F.concat(F.lit('<TEI><text id="'), F.col("doc_id").cast("string"), F.lit('">\n'), body, F.lit("\n</text></TEI>")).alias("value"))
 
 
 def insert_tokens(texts: DataFrame, offsets: DataFrame) -> DataFrame:

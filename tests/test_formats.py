@@ -1,4 +1,4 @@
-from tagloom.plans.corpus import gold
+from tagloom.plans.corpus import gold, nested
 from tagloom.sources import conllu, tei
 
 CONLLU = """# newdoc id = d1
@@ -35,7 +35,7 @@ def test_backend_ids_are_stripped(spark):
 
 def test_conllu_round_trip(spark, data):
     g = gold(spark, data).filter("doc_id < 5")
-    back = conllu.read_conllu(conllu.write_conllu(g).selectExpr("concat(doc_id, '.conllu') AS file", "value"))
+    back = conllu.read_conllu(conllu.write_conllu(conllu.nest_sentences(g)).selectExpr("concat(doc_id, '.conllu') AS file", "value"))
     key = lambda df: sorted((r.doc_id, r.form, r.tag) for r in df.collect())
     assert key(g.selectExpr("cast(doc_id AS string) AS doc_id", "form", "tag")) == key(back.selectExpr("doc_id", "form", "upos AS tag"))
 
@@ -55,3 +55,59 @@ def test_detag(spark):
 
     lines = spark.createDataFrame([(CONLLU,)], "v string").select(F.explode(conllu.detag_lines(F.split("v", "\n"))).alias("x")).collect()
     assert "1\tDo\t_\t_\t_\t_\t_\t_\t_\t_" in [r.x for r in lines]
+
+
+def test_writers_without_shuffle(spark, data):
+    """Arrays of a document's row give what the token table gives, and no exchange is planned."""
+    a, b = nested(spark, data).filter("doc_id < 5"), conllu.nest_sentences(gold(spark, data).filter("doc_id < 5"))
+    for write in (conllu.write_conllu, tei.write_tei):
+        assert sorted(r.value for r in write(a).collect()) == sorted(r.value for r in write(b).collect())
+        assert "Exchange" not in write(a)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conllu_data_source(spark, tmp_path):
+    from tagloom.sources.datasource import ConlluSource
+
+    spark.dataSource.register(ConlluSource)
+    docs = spark.createDataFrame([(1, CONLLU), (2, "# newdoc id = z\n1\tA\t_\t_\t_\t_\t_\t_\t_\t_\n\n")], "doc_id long, value string")
+    docs.write.format("conllu").mode("append").save(str(tmp_path / "c"))
+    rows = spark.read.format("conllu").load(str(tmp_path / "c")).collect()
+    assert {(r.doc_id, r.sent_ord, r.id, r.form) for r in rows} >= {("d1", 0, "1-2", "Don't"), ("d1", 0, "3.1", "x"), ("d2", 0, "1", "Yes"), ("z", 0, "1", "A")}
+    assert all(r.lemma is None for r in rows if r.form == "A")
+
+
+def test_project_documents(spark, tmp_path):
+    import datetime
+
+    from tagloom.sources import project as PR
+
+    xml = '<ttsettings><defaults lang="spa"/><cqp><pattributes><item key="pos" display="POS"/></pattributes></cqp><tool><item lang="spa" backend="x" model="m"/></tool></ttsettings>'
+    assert PR.read_project_settings(xml) == {"language": "spa", "attributes": {"pos": "POS"}, "backends": {"spa": ("x", "m")}}
+    assert PR.read_project_settings("<a>")["language"] is None
+    (tmp_path / "r.json").write_text('{"backends": {"A": {"models": [{"model": "m1", "language_iso": "es", "url": "u"}]}, "B": {"models": []}}}')
+    assert [tuple(r) for r in PR.read_registry(spark, str(tmp_path / "r.json"), "a").collect()] == [("A", "m1", "es", "u")]
+    (tmp_path / "e.json").write_text('{"EN": {"text": "a b"}, "fr": {}}')
+    assert [tuple(r) for r in PR.read_examples(spark, str(tmp_path / "e.json")).collect()] == [("en", "a b")]
+    model = '{"vocab": {"go": [{"upos": "VERB", "count": 3}, {"upos": "NOUN"}], "a": {"upos": "DET", "lemma": "a", "count": 2}}, "transitions": {"upos": {"DET": {"NOUN": 4}}, "start": {"DET": 5}}, "settings": {"beam": 3}}'
+    t = PR.read_model(spark.createDataFrame([(model,)], "value string"))
+    assert {(r.form, r.tag, r.n) for r in t["lexicon"].collect()} == {("go", "VERB", 3), ("go", "NOUN", 1), ("a", "DET", 2)}
+    assert [(r.attribute, r.prev, r.next, r.n) for r in t["transitions"].collect()] == [("upos", "DET", "NOUN", 4)]
+    assert [tuple(r) for r in t["starts"].collect()] == [("DET", 5)] and [tuple(r) for r in t["settings"].collect()] == [("beam", "3")]
+    assert PR.parse_tasks("pos, lemma") == {"tag", "lemmatize"} and PR.parse_tasks("") == set(PR.DEFAULT_TASKS)
+    assert PR.required_annotations("native", "x") == ["xpos", "lemma"]
+    out = PR.augment_header("<TEI><text>a</text></TEI>", "n", "c", "2020")
+    assert "<note>n</note>" in out and '<change when="2020">c</change>' in out and PR.augment_header("<a") == "<a"
+    assert PR.pretty_print_xml('<TEI><text><s><tok>a</tok> <tok>b</tok></s><s/></text></TEI>').count("\n") == 5
+    f = tmp_path / "x.xml"
+    f.write_text("a")
+    assert PR.daily_backup(str(f), datetime.date(2020, 1, 2)).endswith("backups/x-20200102.xml") and PR.daily_backup(str(f), datetime.date(2020, 1, 2)) is None
+
+
+def test_text_rules(spark):
+    from tagloom.functions import text as T
+
+    one = lambda f, x: spark.createDataFrame([(x,)], "v string").select(f("v")).first()[0]
+    for word, case in {"McDonaldS": "UU", "A1": "Ul", "ABC": "UU", "A": "Ul", "a": "ll", "1": "??", "": "ll", "Éa": "Ul"}.items():
+        assert one(T.form_case, word) == case, word
+    for raw, key in {"Field2": "Field2", "text(88)": "text", "field-name": "field_name", "transl_ru-13": "transl_ru", "###a[b": "a", "é": None, "__x..y_": "x_y", "": None}.items():
+        assert one(T.clean_misc_key, raw) == key, raw

@@ -95,3 +95,91 @@ def test_streaming(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM forms").first()[0] > 10_000
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.dictionaries(st.sampled_from(TAGS), st.floats(0.1, 1), min_size=1), min_size=1, max_size=4), st.integers(1, 2), st.floats(0.1, 1))
+def test_beam_skips_what_comes_late_and_low(cells, beam, threshold):
+    """Brute force: a cell keeps its first ``beam`` tags and, of later ones, those of the threshold or more."""
+    m = TA.TagModel(transitions={p: {t: 1 + (i + 2 * j) % 4 for j, t in enumerate(TAGS)} for i, p in enumerate(TAGS)})
+    kept = []
+    for c in cells:
+        k = {}
+        for t in sorted(c):
+            if len(k) < beam or c[t] >= threshold:
+                k[t] = c[t]
+        kept.append(k)
+
+    def weight(path):
+        w = kept[0][path[0]]
+        for k in range(1, len(path)):
+            w *= kept[k][path[k]] * m.transitions[path[k - 1]][path[k]]
+        return w
+
+    got = TA.viterbi([(c, "ll") for c in cells], m, TA.Settings(beam=beam, threshold=threshold))
+    top = max(weight(p) for p in product(*kept))
+    assert all(t in k for t, k in zip(got, kept)) and abs(weight(got) - top) <= 1e-9 * top
+
+
+def test_contractions_follow_by_their_halves():
+    m = TA.TagModel(transitions={"P": {"D": 5}, "D": {"N": 3}})
+    assert TA.viterbi([({"P.D": 1.0}, "ll"), ({"N": 0.5, "P": 0.5}, "ll")], m, TA.Settings()) == ["P.D", "N"]
+
+
+def test_attachment_follows_the_alignment(spark):
+    """The gold head's partner counts, not its number: a token is missing before it."""
+    rows = [(1, 0, 1, None, 2, None, "dep", None), (1, 0, 2, 1, 0, 0, "root", "root"), (1, 0, 3, 2, 2, 1, "dep", "dep"), (1, 0, 4, 3, 2, 2, "dep", "dep")]
+    t = spark.createDataFrame(rows, "doc_id long, sent_ord int, g_id int, p_id int, g_head int, p_head int, g_deprel string, p_deprel string")
+    r = metrics.attachment_scores(t).first()
+    assert (round(r.uas, 6), round(r.las, 6), r.n) == (round(2 / 3, 6), round(2 / 3, 6), 3)
+
+
+def test_patterns_apply_one_after_another(spark):
+    from tagloom.operators import normalize as N
+
+    known = spark.createDataFrame([("corazon", ""), ("coraçon", ""), ("corasón", "corazon"), ("x", "")], "form string, reg string")
+    patterns = spark.createDataFrame([("ç", "z", 20), ("ó", "o", 15), ("a", "ó", 99), ("é", "e", 9)], "old string, new string, n long")
+    forms = spark.createDataFrame([("coraçón",), ("Coraçón",), ("coraçon",), ("corasón",), ("éx",), ("x",)], "form string")
+    got = {r.form: r.reg for r in N.pattern_substitution(forms, patterns, known).collect()}
+    # ç first gives nothing known, ó then does; coraçon is known without a regular form; é has too few.
+    assert got == {"coraçón": "coraçon", "Coraçón": "coraçon"}
+
+
+def test_search_for_settings_is_one_pass():
+    calls = []
+
+    def score(s):
+        calls.append(dict(s))
+        return -abs(s["a"] - 3) - abs(s["endlen"] - 4)
+
+    best, top, n = TA.finetune(score, {"a": 1, "endlen": 5}, {"a": [1, 2, 3], "endlen": [4, 5, 6]})
+    assert best == {"a": 3, "endlen": 5} and n == len(calls) == 4 and top == -1
+
+
+def test_process_text(spark):
+    from tagloom.operators import lexicon as L
+    from tagloom.operators import process as P
+
+    words = [("the", "D", "the"), ("cat", "N", "cat"), ("sat", "V", "sit"), (".", "P", ".")]
+    rows = [(d, 0, i, w, t, m, "", i + 1 < 4) for d in range(3) for i, (w, t, m) in enumerate(words)]
+    train = spark.createDataFrame(rows, "doc_id long, sent_ord int, tok_ord int, form string, tag string, lemma string, reg string, space_after boolean")
+    parts = L.mwt_parts(spark.createDataFrame([("catsat", "cat+sat")], "form string, parts string"))
+    docs = spark.createDataFrame([(7, "The cat sat. the catsat"), (8, ""), (9, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in P.process_text(docs, P.train_tables(train, parts)).collect())
+    assert [(r[1], r[2], r[3], r[7], r[8]) for r in got[:5]] == [(0, 0, "The", "D", "the"), (0, 1, "cat", "N", "cat"), (0, 2, "sat", "V", "sit"), (0, 3, ".", "P", "."), (1, 0, "the", "D", "the")]
+    assert len(got) == 6 and got[5][3] == "catsat" and got[5][6] == "cat+sat" and [r[4] for r in got[:4]] == [True, True, False, None]
+
+
+def test_program_as_annotator(spark):
+    t = spark.createDataFrame([("ab",), ("c",)], "form string")
+    apply = annotators.command(["tr", "a-z", "A-Z"], "form string, pred string")
+    assert sorted(tuple(r) for r in apply(t).collect()) == [("ab", "AB"), ("c", "C")]
+    assert annotators.READERS.get("tei") and annotators.DETECTORS.get("trigrams")
+
+
+def test_ranks_over_ranges(spark):
+    from tagloom.operators.catalog import ranked
+
+    t = spark.range(500).selectExpr("id", "(id * 7919) % 500 AS k")
+    got = {r.k: r["rank"] for r in ranked(t, "k", "id", ranges=7).collect()}
+    assert got == {k: k + 1 for k in range(500)}
