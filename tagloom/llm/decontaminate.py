@@ -120,10 +120,15 @@ class Automaton:
                 self.marks.add((state, item, size))
 
     def flat(self) -> tuple:
-        """(vocabulary, names, shortest, word, to, link, length, above, keys, targets, first mark, marks)
-        as plain Python objects: an edge beyond a state's first is at ``keys`` = state << 32 | word;
+        """(vocabulary, names, shortest, root, branches, word, to, link, length, above, keys, targets,
+        first mark, marks) as plain Python objects: ``root`` has the first state's edges, one for every
+        word; where ``branches``, edges beyond a state's first are at ``keys`` = state << 32 | word;
         ``above`` is the nearest state on the link path, itself included, that holds a window."""
-        edges = sorted((s << 32 | w, t) for s, e in self.more.items() for w, t in e.items())
+        edges = sorted((s << 32 | w, t) for s, e in self.more.items() if s for w, t in e.items())
+        root = array("i", [self._get(0, w) for w in range(len(self.vocabulary))])
+        branches = bytearray(len(self.link))
+        for s in self.more:
+            branches[s] = 1
         marks = sorted(self.marks)
         first = array("i", [0]) * (len(self.link) + 1)
         for s, _, _ in marks:
@@ -136,14 +141,14 @@ class Automaton:
             above[s] = s if first[s + 1] > first[s] else above[up] if up >= 0 else -1
         held = array("i", [x for _, item, size in marks for x in (item, size)])
         return (
-            self.vocabulary, self.names, self.shortest, self.word, self.to, self.link, self.length, above,
+            self.vocabulary, self.names, self.shortest, root, branches, self.word, self.to, self.link, self.length, above,
             array("q", [k for k, _ in edges]), array("i", [t for _, t in edges]), first, held,
         )
 
 
 def stream(flat: tuple, ids: list[int | None]):
     """Hit runs [(first, end)] of word positions, and the items whose windows occur."""
-    _, names, shortest, word, to, link, length, above, keys, targets, first, held = flat
+    _, names, shortest, root, branches, word, to, link, length, above, keys, targets, first, held = flat
     items: set[str] = set()
     runs: list[list[int]] = []
     state = matched = 0
@@ -152,20 +157,20 @@ def stream(flat: tuple, ids: list[int | None]):
         if w is None:
             state = matched = 0
             continue
-        while True:
+        while state:
             if word[state] == w:
                 t = to[state]
-            else:
+                break
+            if branches[state]:
                 key = state << 32 | w
                 at = bisect_left(keys, key)
-                t = targets[at] if at < n and keys[at] == key else -1
-            if t >= 0 or not state:
-                break
+                if at < n and keys[at] == key:
+                    t = targets[at]
+                    break
             state = link[state]
             matched = length[state]
-        if t < 0:
-            matched = 0
-            continue
+        else:
+            t = root[w]  # every known word is in some item
         state = t
         matched += 1
         at = above[state] if matched >= shortest else -1
