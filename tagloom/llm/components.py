@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 MAX_ROUNDS = 60
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges = stored(edges.select("u", "v").filter("u != v").distinct(), name)
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = stored(_small_star(_large_star(edges)), name)
+        old, edges = edges, stored(_small_star(_large_star(edges)), name)
+        drop_stored(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, sliced, stored
+from .common import sliced, stored
 from .components import connected_components
 from .simhash import _LOWER, _forest
 
