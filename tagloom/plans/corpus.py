@@ -79,14 +79,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, sents: for each document an array of sentences, each (sent_ord, ts), ts an
     array of pseudo-annotated tokens. Everything stays in the document's row: no shuffle."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\S"))  # not on sents: that would make them twice
     words = docs.select(*keep, F.transform(segment_sentences("text"), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0))).alias("_f"))
     here = lambda x: re.sub(r"\btok_ord\b", "i", re.sub(r"\bnxt\b", "get(f, i + 1)", re.sub(r"\bprev\b", "get(f, i - 1)", dialect(x, False))))
     plain = ", ".join(f"'{k}', {here(x)}" for k, x in ANNOTATIONS.items())
     upper = "(form >= 'A' AND form < '[') OR regexp_like(form, r'^\\p{Lu}')"
     token = f"named_struct('tok_ord', i, 'form', form, {plain}, 'xpos', concat_ws('.', {here(ANNOTATIONS['tag'])}, CASE WHEN {upper} THEN 'U' ELSE 'l' END))"
     sents = F.expr(f"filter(transform(_f, (f, j) -> named_struct('sent_ord', j, 'ts', transform(f, (form, i) -> {token}))), s -> size(s.ts) > 0)")
-    return words.select(*keep, sents.alias("sents")).filter(F.size("sents") > 0)
+    return words.select(*keep, sents.alias("sents"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
