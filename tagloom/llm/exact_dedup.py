@@ -313,8 +313,10 @@ def repeated_spans(
     texts = docs.select(F.xxhash64(body).alias("th"), F.octet_length(body).cast("bigint").alias("size"), body.alias("text"), *[F.col(c).alias(f"_o_{c}") for c in others])
     shortest = min(length, 2 * passage - 1) if passage else length
     all_runs = stored(text_runs(texts.filter(F.col("size") >= shortest), lengths, grams), "dedup-runs")
+    # Equal runs are alike in all but where they are, and any of their places will do: with single
+    # numbers to keep, each from the same first row, runs are aggregated by hash and never sorted.
     kinds = all_runs.groupBy("anchor", "run").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "size", "lo", "n_windows", "place")).alias("w"), F.first("lk").alias("lk"), F.first("rk").alias("rk")
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("th", "size", "lo", "n_windows", "place", "lk", "rk")]
     )
     kinds = stored(kinds, "dedup-kinds")
     # Where every kind of run has copies, all windows are known to repeat.
@@ -329,8 +331,8 @@ def repeated_spans(
     drop_stored(several)
     chunks = left.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / runs).cast("int").alias("chunks")).withColumnRenamed("anchor", "_a")
     wanted = left.join(chunks, F.col("anchor") == F.col("_a")).select(
-        F.col("w.th").alias("_th"), F.col("w.size").alias("_size"),
-        F.struct("anchor", "run", F.pmod("run", "chunks").cast("int").alias("chunk"), "chunks", F.col("w.lo").alias("lo"), F.col("w.n_windows").alias("k"), F.col("w.place").alias("place")).alias("r"),
+        F.col("th").alias("_th"), F.col("size").alias("_size"),
+        F.struct("anchor", "run", F.pmod("run", "chunks").cast("int").alias("chunk"), "chunks", "lo", F.col("n_windows").alias("k"), "place").alias("r"),
     )
     wanted = wanted.groupBy("_th", "_size").agg(F.collect_list("r").alias("rs"))
     located = texts.join(wanted, (texts["th"] == wanted["_th"]) & (texts["size"] == wanted["_size"])).select("text", "rs")
@@ -361,7 +363,7 @@ def repeated_spans(
         at = F.col("at").cast("bigint")
         found = found.unionByName(late.select("anchor", "run", F.array(F.struct(at.alias("a"), (at + F.col("n")).alias("b"))).alias("iv")))
     copied = kinds.filter("n > 1").select(
-        "anchor", "run", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("w.n_windows").cast("bigint").alias("b"))).alias("iv")
+        "anchor", "run", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("n_windows").cast("bigint").alias("b"))).alias("iv")
     )
     found = found.unionByName(copied).groupBy("anchor", "run").agg(F.flatten(F.collect_list("iv")).alias("iv"))
     # Written first, so that the join has two plain shuffles and adaptive execution can split a run that many texts have.
