@@ -13,8 +13,9 @@ has no bound.
 
 1. Runs of equal bytes are counted, pre-aggregated: where there are two or more,
    all their windows repeat. One run stands for the others from here on.
-2. Runs that share their anchor's hash but differ may share some windows, if they
-   agree in half a window to the left or to the right of the anchor. Their units
+2. Runs that share their anchor's hash but differ may share some windows. Such a
+   window holds one of four spans around the anchor, which are shorter by a quarter
+   of what a window has beside it, so the runs agree in that span. Their units
    go, by anchor, to tasks that build a suffix array (two-stage sorting) over
    them; adjacent common prefixes give the windows that repeat.
 3. An anchor with more than ``RUNS`` different runs is dealt out over several tasks;
@@ -47,7 +48,9 @@ BLOCK_BYTES = 1 << 21
 #: Units of a text that are cut into runs at once.
 SEGMENT = 1 << 22
 _POSITION_BITS = np.uint64(28)
-_RUN_SCHEMA = "th bigint, size bigint, lo bigint, n_windows int, place int, anchor bigint, run bigint, lk int, rk int"
+_RUN_SCHEMA = "th bigint, size bigint, lo bigint, n_windows int, place int, anchor bigint, run bigint, sides bigint"
+#: Spans around an anchor, each told by 16 bits of ``sides``.
+SPANS = 4
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Bytes of a unit, by unit: bytes, words.
 UNIT_BYTES = (1, 4)
@@ -84,14 +87,15 @@ def units_of(raw: bytes, unit: int) -> bytes:
 
 
 def runs_of(t: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(document, lo, n_windows, place, anchor hash) arrays for units of documents laid end to end.
+    """(document, lo, n_windows, place, anchor hash, sides) arrays for units of documents laid end to end.
 
     ``ends`` has where each document ends; lo counts from its document's start, and
     place, that of the anchor, from lo.
     """
     empty = np.zeros(0, np.int64)
+    none = empty, empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if len(t) < length:
-        return empty, empty, empty, empty, np.zeros(0, np.uint64)
+        return none
     h = _gram_hashes(t, gram)
     mask = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
     v = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
@@ -110,9 +114,27 @@ def runs_of(t: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
     new[1:] &= (anchor[1:] != anchor[:-1]) | ~fits[:-1]
     lo = np.flatnonzero(new)
     if not len(lo):
-        return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    n = np.add.reduceat(fits, lo)
-    return doc[lo], lo - starts[doc[lo]], n, anchor[lo] - lo, h[anchor[lo]]
+        return none
+    n, mid = np.add.reduceat(fits, lo), anchor[lo]
+    return doc[lo], lo - starts[doc[lo]], n, mid - lo, h[mid], _sides(h, mid, mid - lo, n, length, gram)
+
+
+def _sides(h: np.ndarray, mid: np.ndarray, place: np.ndarray, n: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """16 bits for each span around the anchors at ``mid``, from the hashes of the grams that tile it;
+    0 where the run doesn't reach so far. A window with ``a`` units before its anchor holds the span
+    between the two cuts around ``a``; equal spans have equal bits."""
+    cuts = [(length - gram) * i // SPANS for i in range(SPANS + 1)]
+    out = np.zeros(len(mid), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            span = length - (b - a)
+            reach = (place >= a) & (place - a + span <= n + length - 1)
+            start, told = np.where(reach, mid - a, 0), np.zeros(len(mid), np.uint64)
+            for at in (*range(0, span - gram, gram), span - gram):
+                told = (told + h[start + at]) * np.uint64(0x9E3779B97F4A7C15)
+            told = np.where(reach, np.maximum(told >> np.uint64(48), np.uint64(1)), np.uint64(0))
+            out |= told << np.uint64(16 * i)
+    return out
 
 
 def _pieces(units: list[bytes], unit: int, length: int, most: int = BLOCK_BYTES):
@@ -135,44 +157,35 @@ def _pieces(units: list[bytes], unit: int, length: int, most: int = BLOCK_BYTES)
 def text_runs(docs: DataFrame, lengths: tuple[int, int], grams: tuple[int, int]) -> DataFrame:
     """All runs, in either unit, of all rows of ``docs`` (th, size, text). A length of 0 leaves a unit out.
 
-    ``lk`` and ``rk`` are hashes of the anchor with half a window before or after it,
-    null where the run doesn't reach so far.
+    ``sides`` has the bits of the spans around the anchor.
     """
     names = [f.split()[0] for f in _RUN_SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        import xxhash
+        from xxhash import xxh64_intdigest
 
-        digest = xxhash.xxh64_intdigest
         for b in sliced(batches):
             th, size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("th", "size"))
             texts = [t.encode() for t in b.column("text").to_pylist()]
             for unit, (length, gram) in enumerate(zip(lengths, grams)):
                 if not length:
                     continue
-                w, half = UNIT_BYTES[unit], (length - gram) // 2
+                w = UNIT_BYTES[unit]
                 for held in _pieces([units_of(t, unit) for t in texts], unit, length):
                     data = b"".join(p for _, _, p in held)
                     ends = np.cumsum([len(p) // w for _, _, p in held])
-                    piece, lo, n, place, anchor = runs_of(np.frombuffer(data, _DTYPE[unit]), ends, length, gram)
+                    piece, lo, n, place, anchor, sides = runs_of(np.frombuffer(data, _DTYPE[unit]), ends, length, gram)
                     if not len(piece):
                         continue
                     at = lo + np.concatenate([[0], ends[:-1]])[piece]
-                    hashes = lambda a, e, seed: np.fromiter(
-                        (digest(data[x:y], seed) for x, y in zip((a * w).tolist(), (e * w).tolist())), np.uint64, len(a)
-                    ).view(np.int64)
-                    mid = at + place
-                    whole = hashes(at, at + n + length - 1, 7)
-                    left, right = place >= half, n - 1 + length - place - gram >= half
-                    lk = pa.array(hashes(np.where(left, mid - half, mid), np.where(left, mid + gram, mid), 8).astype(np.int32), mask=~left)
-                    rk = pa.array(hashes(mid, np.where(right, mid + gram + half, mid), 9).astype(np.int32), mask=~right)
+                    spans = zip((at * w).tolist(), ((at + n + length - 1) * w).tolist())
+                    whole = np.fromiter((xxh64_intdigest(data[a:e], 7) for a, e in spans), np.uint64, len(at)).view(np.int64)
                     row = np.array([i for i, _, _ in held])[piece]
                     base = np.array([x for _, x, _ in held], np.int64)[piece]
                     anchor = (anchor & ~np.uint64(1)) | np.uint64(unit)
-                    columns = [th[row], size[row], lo + base, n, place, anchor.view(np.int64), whole]
-                    made = [pa.array(c).cast(k) for c, k in zip(columns, kinds)]
-                    yield pa.RecordBatch.from_arrays([*made, lk, rk], names)
+                    columns = [th[row], size[row], lo + base, n, place, anchor.view(np.int64), whole, sides.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds)], names)
 
     return docs.select("th", "size", "text").mapInArrow(run, _RUN_SCHEMA)
 
@@ -316,18 +329,19 @@ def repeated_spans(
     # Equal runs are alike in all but where they are, and any of their places will do: with single
     # numbers to keep, each from the same first row, runs are aggregated by hash and never sorted.
     kinds = all_runs.groupBy("anchor", "run").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("th", "size", "lo", "n_windows", "place", "lk", "rk")]
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("th", "size", "lo", "n_windows", "place", "sides")]
     )
     kinds = stored(kinds, "dedup-kinds")
     # Where every kind of run has copies, all windows are known to repeat.
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("alone"))
     shared = shared.filter("kinds > 1 AND alone > 0").select(F.col("anchor").alias("_a"))
     several = stored(kinds.join(shared, F.col("anchor") == F.col("_a"), "left_semi"), "dedup-several")
-    halves = several.select("anchor", "run", F.posexplode(F.array("lk", "rk")).alias("side", "half")).filter("half IS NOT NULL")
-    same = ["anchor", "side", "half"]
-    twice = halves.groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    alike = halves.join(twice, same, "left_semi").select(F.col("anchor").alias("_a"), F.col("run").alias("_r")).distinct()
-    left = stored(several.join(alike, (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_r")), "left_semi").drop("lk", "rk"), "dedup-alike")
+    told = F.array(*[F.shiftrightunsigned("sides", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(SPANS)])
+    spans = several.select("anchor", "run", F.posexplode(told).alias("side", "span")).filter("span != 0")
+    same = ["anchor", "side", "span"]
+    twice = spans.groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    alike = spans.join(twice, same, "left_semi").select(F.col("anchor").alias("_a"), F.col("run").alias("_r")).distinct()
+    left = stored(several.join(alike, (F.col("anchor") == F.col("_a")) & (F.col("run") == F.col("_r")), "left_semi").drop("sides"), "dedup-alike")
     drop_stored(several)
     chunks = left.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / runs).cast("int").alias("chunks")).withColumnRenamed("anchor", "_a")
     wanted = left.join(chunks, F.col("anchor") == F.col("_a")).select(
