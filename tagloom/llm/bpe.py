@@ -29,8 +29,8 @@ SPLIT_PATTERN = (
     r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 HOT_WORDS = 1 << 16
-#: Rarer words that a worker keeps encoded, and rows in an Arrow batch: both bound its memory.
-RARE_WORDS, BATCH = 100_000, 128
+#: Rarer words that a worker keeps encoded, and rows and bytes that it encodes at once: all bound its memory.
+RARE_WORDS, BATCH, BATCH_BYTES = 100_000, 128, 1 << 20
 SPECIAL = "<|endoftext|>"
 
 
@@ -154,7 +154,7 @@ def encode_documents(
     def run(batches):
         known, rare, pieces = shared.value, {}, _pieces(path)
         out = coded = words = flat = id_lists = decoded = None
-        for b in sliced(batches):
+        for b in sliced(batches, BATCH, BATCH_BYTES):
             words = b.column(n_keep)
             if isinstance(words, pa.ChunkedArray):
                 words = words.combine_chunks()
