@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, sliced, table
+from .common import give_back_memory, process_cache, sliced, table
 
 #: The split pattern of the byte-level pre-tokenizer.
 SPLIT_PATTERN = (
@@ -201,7 +201,7 @@ def encode_documents(
             yield pa.RecordBatch.from_arrays(out, names_)
         rare.clear()
         del out, coded, words, flat, id_lists, decoded
-        pa.default_memory_pool().release_unused()  # idle workers give back what they held
+        give_back_memory()
 
     names_ = [*keep, "n_tokens"] + ["ids"] * with_ids + ["decoded"] * with_text + ["ids_sha256", "decoded_sha256"] * with_digests
     split = source.select(*[f"_k{i}" for i in range(n_keep)], words_column(F.col("_t")).alias("_w"))

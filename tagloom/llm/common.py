@@ -1,10 +1,12 @@
 """What the training-data operators share: tables, shared storage, batches, caches."""
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def sliced(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
         step = max(1, min(rows, rows if not b.num_rows else int(rows * most // max(most, b.nbytes * rows // b.num_rows))))
         for at in range(0, b.num_rows, step):
             yield b if step >= b.num_rows else b.slice(at, step)
+    b = None
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return freed pages to the system; a Python worker lives on after its task, idle or not."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -207,10 +207,14 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
 _FOUND = "n_words bigint, runs array<struct<a:int,b:int>>, items array<string>"
 
 
-def _scan(docs: DataFrame, flat: tuple) -> DataFrame:
-    """``docs`` (columns k0, ..., t) and n_words, runs (hit word ranges), items."""
+def _scan(docs: DataFrame, flat: tuple, finish=None, schema: str | None = None) -> DataFrame:
+    """``docs`` (columns k0, ..., t) and n_words, runs (hit word ranges), items.
+
+    With ``finish(batch, n_words, runs)`` that, of the type ``schema``, is the result instead:
+    what follows a scan then needs no Python worker of its own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(flat)  # arrays of at most 2 * block_words states
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {_FOUND}"
+    schema = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {_FOUND}"
 
     def run(batches):
         flat = shared.value
@@ -222,11 +226,14 @@ def _scan(docs: DataFrame, flat: tuple) -> DataFrame:
                 n_words.append(len(ids))
                 known = len(ids) - ids.count(None)
                 r, found = stream(flat, ids) if known >= shortest else ([], set())
-                runs.append([{"a": x, "b": y} for x, y in r])
+                runs.append(r)
                 items.append(sorted(found))
+            if finish:
+                yield finish(b, n_words, runs)
+                continue
             made = [
                 pa.array(n_words, pa.int64()),
-                pa.array(runs, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                pa.array([[{"a": x, "b": y} for x, y in r] for r in runs], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                 pa.array(items, pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "n_words", "runs", "items"])
@@ -234,23 +241,28 @@ def _scan(docs: DataFrame, flat: tuple) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, keep, window: int, block_words: int) -> DataFrame:
-    """k0, k1, ... (the columns ``keep``), t (the text), n_words, runs, items."""
+def _found(
+    docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, keep, window: int, block_words: int, finish=None, schema=None
+) -> DataFrame:
+    """k0, k1, ... (the columns ``keep``), t (the text), n_words, runs, items.
+
+    With ``finish`` the last pass gives its result (see ``_scan``); ``k_runs`` of its batch, if there, has the runs of former passes.
+    """
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").cast("string").alias("t"))
-    out = None
+
+    def with_former(found):
+        runs, items = _merged(F.concat("k_runs", "runs")), F.array_sort(F.array_union("k_items", "items"))
+        return found.select(*names, "t", "n_words", runs.alias("runs"), items.alias("items"))
+
+    out = flat = None
     for block in _blocks(benchmark, item, item_text, block_words):
+        if flat is not None:  # one more pass will follow
+            found = _scan(source, flat) if out is None else with_former(_scan(out, flat))
+            out = stored(found.withColumnsRenamed({"runs": "k_runs", "items": "k_items"}).drop("n_words"), "leaks")
         flat = Automaton(block, window).flat()
-        if out is None:
-            out = _scan(source, flat)
-        else:  # one more pass, over what the former blocks found
-            before = stored(out.withColumnsRenamed({"runs": "k_runs", "items": "k_items"}).drop("n_words"), "leaks")
-            out = _scan(before, flat).select(
-                *names, "t", "n_words",
-                _merged(F.concat("k_runs", "runs")).alias("runs"),
-                F.array_sort(F.array_union("k_items", "items")).alias("items"),
-            )
-    return out
+    last = _scan(source if out is None else out, flat, finish, schema)
+    return last if finish or out is None else with_former(last)
 
 
 def scan_documents(
@@ -289,6 +301,17 @@ def _merged(runs):
     return F.aggregate(F.array_sort(runs), start, add)
 
 
+def _union(runs: list) -> list:
+    """As ``_merged``, of a list of pairs."""
+    out: list[list[int]] = []
+    for a, z in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
+
+
 def remove_spans(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", max_span: int = 0, max_coverage: float = 1.0,
     item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
@@ -304,27 +327,30 @@ def remove_spans(
     """
     keep = [c for c in docs.columns if c != text]
     names = [f"k{i}" for i in range(len(keep))]
-    found = _found(docs, benchmark, text, item, item_text, keep, window, block_words)
-    hit = F.aggregate("runs", F.lit(0), lambda s, r: s + r["b"] - r["a"])
-    kept = found.filter((F.col("n_words") == 0) | (hit <= F.lit(max_coverage) * F.col("n_words")))
 
-    def cut(batches):
-        for b in sliced(batches):
-            texts, runs = b.column("t").to_pylist(), b.column("runs").to_pylist()
-            for i, rs in enumerate(runs):
-                rs = [r for r in rs or [] if r["b"] - r["a"] > max_span]
-                if rs:
-                    raw = texts[i].encode()
-                    at = [m.span() for m in _SPANS.finditer(raw.lower())]
-                    parts, last = [], 0
-                    for r in rs:
-                        parts.append(raw[last : at[r["a"]][0]])
-                        last = at[r["b"] - 1][1]
-                    texts[i] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string())], [*names, "t"])
-
-    rows = kept.select(*names, "t", "runs")
-    out = rows.mapInArrow(cut, rows.drop("runs").schema)
+    def cut(b, n_words, found):
+        texts, kept = b.column("t").to_pylist(), []
+        former = b.column("k_runs").to_pylist() if "k_runs" in b.schema.names else [()] * len(texts)
+        for i, (n, runs) in enumerate(zip(n_words, found, strict=True)):
+            runs = _union([*runs, *((r["a"], r["b"]) for r in former[i] or ())])
+            if n and sum(z - a for a, z in runs) > max_coverage * n:
+                continue
+            kept.append(i)
+            runs = [(a, z) for a, z in runs if z - a > max_span]
+            if runs:
+                raw = texts[i].encode()
+                at = [m.span() for m in _SPANS.finditer(raw.lower())]
+                parts, last = [], 0
+                for a, z in runs:
+                    parts.append(raw[last : at[a][0]])
+                    last = at[z - 1][1]
+                texts[i] = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
+        rows = [b.column(c) for c in names] + [pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(rows, [*names, "t"]).take(pa.array(kept, pa.int64()))
+
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    schema = ", ".join([f"`{n}` {kinds[c]}" for c, n in zip(keep, names)] + ["t string"])
+    out = _found(docs, benchmark, text, item, item_text, keep, window, block_words, cut, schema)
     back = dict(zip(keep, names)) | {text: "t"}
     return out.select(*[F.col(back[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
