@@ -111,3 +111,22 @@ def test_text_rules(spark):
         assert one(T.form_case, word) == case, word
     for raw, key in {"Field2": "Field2", "text(88)": "text", "field-name": "field_name", "transl_ru-13": "transl_ru", "###a[b": "a", "é": None, "__x..y_": "x_y", "": None}.items():
         assert one(T.clean_misc_key, raw) == key, raw
+
+
+def test_tei_documents_are_what_the_writer_makes(spark, data, tmp_path):
+    from tagloom.plans import corpus
+
+    odd = "ǅabc 12 ½ ²³ Éa É. it's _ -- a'b İI ΑΣ «x» 中文 é a\"b <t> & ٣٤ é _", " \n", None, "Ça va? Ñandú! x.y A1 1A ß Ⅷ ª"
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (data, str(tmp_path)):
+        want = {r.doc_id: r.value for r in tei.write_tei(corpus.nested(spark, d)).collect()}
+        assert want == {r.doc_id: r.value for r in corpus.tei_documents(corpus.read(spark, d, "documents")).collect()}
+
+
+def test_tei_is_parsed_without_a_tree():
+    """Tails, not leading text, part tokens; comments don't; markup in a token is its text."""
+    xml = '<TEI><text id="d"><s id="a"><tok id="x">I<hi>t</hi><dtok form="q"/></tok><!-- c --> <hi> <tok id="x">b</tok></hi>, <tok form="--"/><name><tok head="y">c</tok></name> </s><tok>d</tok></text></TEI>'
+    rows = [(r[1], r[2], r[4], r[5], r[6], r[15], r[16], r[17]) for r in tei.parse("/x/f.xml", xml)]
+    assert rows == [("d", 0, 0, "x", "It", True, None, 1), ("d", 0, 1, "x-2", "b", False, None, 0), ("d", 0, 2, None, "c", True, "name", 0), ("d", 0, 3, None, "d", None, None, 0)]
+    deep = "<TEI>" + "<p>" * 5000 + "<tok>a</tok>" + "</p>" * 5000 + "</TEI>"
+    assert [r[6] for r in tei.parse("/x/f.xml", deep)] == ["a"] and tei.parse("/x/f.xml", "<a><tok>b</tok>") == []
