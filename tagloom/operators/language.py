@@ -1,35 +1,120 @@
-"""Language detection by character trigrams, trained on labelled texts."""
+"""Language detection by character trigrams, trained on labelled texts.
+
+Trigrams are counted inside a text's row: what leaves a task of the training is a count for each
+language and trigram, of the ranking a score for each text and language.
+"""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
+#: Texts that are worked on at once, and their characters.
+ROWS, CHARS = 512, 1 << 22
+
+
+def letters(text: str = "text"):
+    """The whole text in lower case, letters only, words padded."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}]+", " "), F.lit(" "))
+
+
+def _codes(t: str) -> np.ndarray:
+    """A number for each trigram of ``t``, 21 bits a character; a text of two characters is one."""
+    c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        c = np.concatenate([c, np.zeros(3 - len(c), np.int64)])
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _gram(code: int) -> str:
+    return "".join(chr(x) for x in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if x)
 
 
-def trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, gram, n over the whole text, lower case, letters only, words padded."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}]+", " "), F.lit(" "))
-    places = F.sequence(F.lit(1), F.greatest(F.char_length("t") - 2, F.lit(1)))
-    g = docs.select("doc_id", low.alias("t")).select("doc_id", F.explode(F.transform(places, lambda i: F.substring(F.col("t"), i, F.lit(3)))).alias("gram"))
-    return g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+def trigram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, gram, n; a text that is null counts as one null trigram."""
 
+    def run(batches):
+        def counted(held):
+            rows = []
+            for name, found in held.items():
+                texts = [t for t in found if t is not None]
+                if len(texts) < len(found):
+                    rows.append((name, None, len(found) - len(texts)))
+                if texts:
+                    codes, n = np.unique(np.concatenate([_codes(t) for t in texts]), return_counts=True)
+                    rows += [(name, _gram(c), k) for c, k in zip(codes.tolist(), n.tolist())]
+            columns = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
-def profiles(grams: DataFrame, labels: DataFrame, size: int = PROFILE) -> DataFrame:
+        held, size = {}, 0
+        for b in batches:
+            for name, t in zip(b.column("lang").to_pylist(), b.column("t")):
+                t = t.as_py()
+                held.setdefault(name, []).append(t)
+                size += len(t or "") + 1
+                if size >= CHARS:
+                    yield counted(held)
+                    held, size = {}, 0
+        if held:
+            yield counted(held)
+
+    out = docs.select(F.col(lang).alias("lang"), letters(text).alias("t")).mapInArrow(run, "lang string, gram string, n bigint")
+    return out.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def profiles(counts: DataFrame, size: int = PROFILE) -> DataFrame:
     """lang, gram, p: shares of the ``size`` most frequent trigrams of each language."""
-    c = grams.join(labels, "doc_id").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang")
-    r = c.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= size)
+    r = counts.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), F.asc_nulls_last("gram")))).filter(F.col("r") <= size)
     return r.select("lang", "gram", (F.col("n") / F.sum("n").over(w)).alias("p"))
 
 
-def language_topk(grams: DataFrame, profile: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, rank, lang, score: languages by the weight of a text's trigrams in their profiles."""
-    s = grams.join(profile, "gram").groupBy("doc_id", "lang").agg(F.round(F.sum(F.col("n") * F.col("p")), 9).alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "lang")
+def language_topk(docs: DataFrame, profile: DataFrame, text: str = "text", k: int = 3) -> DataFrame:
+    """doc_id, rank, lang, score: languages by the weight of a text's trigrams in their profiles.
+
+    The profiles, ``PROFILE`` rows a language, are collected when this is built.
+    """
+    rows = [r for r in profile.collect() if r["gram"] is not None]
+    langs = list(dict.fromkeys(r["lang"] for r in rows))
+    place = {name: i for i, name in enumerate(langs)}
+    code = [int(_codes(r["gram"])[0]) for r in rows]
+    known = np.unique(np.array(code, np.int64))
+    share = [(int(np.searchsorted(known, c)), place[r["lang"]], r["p"]) for c, r in zip(code, rows)]
+    shared = docs.sparkSession.sparkContext.broadcast((langs, known.tolist(), share))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        langs, known, share = shared.value
+        known = np.array(known, np.int64)
+        weight = np.zeros((len(known), len(langs)))
+        for i, j, p in share:
+            weight[i, j] = p
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                b = batch.slice(start, ROWS)
+                ids, found, scores = [], [], []
+                for d, t in enumerate(b.column("t")):
+                    t = t.as_py()
+                    if t is None or not len(known):
+                        continue
+                    codes = _codes(t)
+                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                    seen, n = np.unique(at[known[at] == codes], return_counts=True)
+                    part = n @ weight[seen]
+                    for j in np.flatnonzero(part):
+                        ids.append(d)
+                        found.append(langs[j])
+                        scores.append(float(part[j]))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang", "score"])
+
+    s = docs.select("doc_id", letters(text).alias("t")).mapInArrow(run, f"doc_id {kind}, lang string, score double")
+    s = s.groupBy("doc_id", "lang").agg(F.round(F.sum("score"), 9).alias("score"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.asc_nulls_last("lang"))
     return s.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def detect(docs: DataFrame, profile: DataFrame, text: str = "text", k: int = 1) -> DataFrame:
     """The ``k`` best languages of each document, from profiles learned elsewhere."""
-    return language_topk(trigrams(docs, text), profile, k)
+    return language_topk(docs, profile, text, k)
