@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each component of texts whose
-    five-word shingles have a Jaccard similarity of 0.8 or more."""
+    five-word shingles have a Jaccard similarity of 0.8 or more: SimHash and MinHash propose."""
     return near_dedup.drop_similar(docs)
 
 

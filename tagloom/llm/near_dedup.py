@@ -1,8 +1,10 @@
 """Near duplicates by exact Jaccard similarity of five-word shingles.
 
-MinHash bands only propose: two sets of similarity 0.8 share none of the 50 bands of
-six rows with probability 3e-7. Sets that share a band are joined to candidate
-components, and there each pair of sets is compared exactly, as block pairs, so that a
+SimHash and MinHash only propose. Fingerprints of the shingles go through the method of
+``simhash``: segment counts, grid cells, the Manhattan bound, then exact bits. That finds
+copies with few edits; MinHash bands add those that its radius misses: two sets of
+similarity 0.8 share none of the 50 bands of six rows with probability 3e-7. What
+either links is joined to candidate components, and there each pair of sets is compared exactly, as block pairs, so that a
 large component isn't one task. Of components of more than ``WIDE`` sets only those
 that share a band meet. What leaves a task is a forest, not pairs. Only distinct sets
 take part, so copies cost nothing.
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced, stored
 from .components import connected_components
-from .simhash import _LOWER, _forest
+from .simhash import BITS, _LOWER, _forest, fingerprint, link_edges
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 50, 6
@@ -97,6 +99,20 @@ def _candidate_edges(cells: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint, cell bigint")
 
 
+def _fingerprint_edges(sets: DataFrame, bits: int = BITS) -> DataFrame:
+    """(u, v, cell): each set (sid, fp) with one whose fingerprint is equal, or linked to its own.
+
+    All sets of a tree of links have the same ``cell``, so that they meet in a large component too.
+    """
+    lead = sets.groupBy("fp").agg(F.min("sid").alias("lead"))
+    links = stored(link_edges(lead.select("fp"), bits), "near-fingerprint-links")
+    roots = links.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    roots = roots.unionByName(links.select(F.col("v").alias("fp"), F.col("v").alias("root"))).unionByName(lead.select("fp", F.col("fp").alias("root")))
+    top = lead.select(F.col("fp").alias("root"), F.col("lead").alias("v"))
+    edges = roots.distinct().join(top, "root").join(sets.select("fp", F.col("sid").alias("u")), "fp")
+    return edges.filter("u <> v").select("u", "v", F.xxhash64("root", F.lit("fingerprint")).alias("cell"))
+
+
 def _verified_edges(dealt: DataFrame, similarity: float) -> DataFrame:
     """(u, v): forests of the links among the texts of equal ``group``."""
 
@@ -143,14 +159,16 @@ def similar_documents(
         for b in sliced(batches):
             found = [shingles(t) for t in b.column("text").to_pylist()]
             sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, SHINGLE) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             keys = pa.array([bands(s) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(sid), keys], ["id", "th", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(sid), pa.array(fps), keys], ["id", "th", "sid", "fp", "keys"])
 
-    marked = stored(rows.mapInArrow(run, f"id {kind}, th bigint, sid bigint, keys array<bigint>"), "near-docs")
+    marked = stored(rows.mapInArrow(run, f"id {kind}, th bigint, sid bigint, fp bigint, keys array<bigint>"), "near-docs")
     sets = marked.groupBy("sid").agg(F.first("keys").alias("keys"), F.min(F.struct("id", "th")).alias("at"))
     sets = stored(sets, "near-sets")
     cells = sets.select("sid", F.explode("keys").alias("cell"))
-    edges = stored(_candidate_edges(cells), "near-candidates")
+    prints = stored(marked.select("sid", "fp").distinct(), "near-fingerprints")
+    edges = stored(_candidate_edges(cells).unionByName(_fingerprint_edges(prints)), "near-candidates")
     roots = stored(connected_components(edges, "near-candidate-components"), "near-roots")
     tops = roots.select(F.col("v").alias("u"), "v").distinct()
     members = roots.unionByName(tops)
@@ -170,7 +188,7 @@ def similar_documents(
     texts = texts.dropDuplicates(["sid"])
     links = stored(_verified_edges(dealt.join(texts, "sid"), similarity), "near-links")
     components = connected_components(links, "near-components").select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    found = marked.drop("keys").join(components, F.col("sid") == F.col("_u"), "left")
+    found = marked.drop("keys", "fp").join(components, F.col("sid") == F.col("_u"), "left")
     return found.select("id", "th", F.coalesce("_v", "sid").alias("component"))
 
 

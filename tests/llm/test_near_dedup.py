@@ -72,3 +72,18 @@ def test_repeated_and_missing_ids(spark):
     got = sorted((str(r.doc_id), r.text) for r in near_dedup.drop_similar(frame).collect())
     assert got == [("1", rows[0][1]), ("1", rows[1][1]), ("None", rows[0][1])]
     assert near_dedup.drop_similar(frame.limit(0)).count() == 0
+
+
+def test_fingerprints_alone_propose_copies_with_few_edits(spark, monkeypatch):
+    """The SimHash method is a step of the stage: with no band at all it still finds what its radius holds."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        base = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(1500))
+        texts += [base, edited(rng, base, 2)]
+    close = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() <= simhash.BITS for a, b in zip(texts[::2], texts[1::2])]
+    assert any(close)
+    monkeypatch.setattr(near_dedup, "_candidate_edges", lambda cells: spark.createDataFrame([], "u bigint, v bigint, cell bigint"))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.id: r.component for r in near_dedup.similar_documents(frame).collect()}
+    assert [of[2 * i] == of[2 * i + 1] for i in range(12)] == close
