@@ -183,3 +183,19 @@ def test_ranks_over_ranges(spark):
     t = spark.range(500).selectExpr("id", "(id * 7919) % 500 AS k")
     got = {r.k: r["rank"] for r in ranked(t, "k", "id", ranges=7).collect()}
     assert got == {k: k + 1 for k in range(500)}
+
+
+def test_two_stage_carries_its_columns(spark, data, tmp_path):
+    """The rows of a join back, without it."""
+    from pyspark.sql import functions as F
+
+    from tagloom.plans import load
+    from tagloom.plans.corpus import gold, read
+
+    read(spark, data, "documents").limit(4).write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    made = load()[0]["two_stage"](spark, d)
+    test = gold(spark, d).withColumn("tag", F.lit("_")).select("doc_id", "sent_ord", "tok_ord", "form", "tag", "head", "deprel")
+    want = TA.update_tokens(test, load()[0]["viterbi_tag"](spark, d))
+    assert made.columns == want.columns and sorted(made.collect()) == sorted(want.collect())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") < want._jdf.queryExecution().optimizedPlan().toString().count("Join")
