@@ -199,3 +199,16 @@ def test_two_stage_carries_its_columns(spark, data, tmp_path):
     want = TA.update_tokens(test, load()[0]["viterbi_tag"](spark, d))
     assert made.columns == want.columns and sorted(made.collect()) == sorted(want.collect())
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") < want._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_a_transition_is_weighed_once(monkeypatch):
+    """Not for each token, in either space; spaces and settings don't share weights."""
+    met = []
+    arc = TA._arc
+    monkeypatch.setattr(TA, "_arc", lambda m, s, prev, tag, log: met.append((prev, tag, log, s.factor)) or arc(m, s, prev, tag, log))
+    m = TA.TagModel({"a": {"b": 1, "a": 2}, "b": {"a": 3}}, {"a": {"ll": 2}}, {"a": 1})
+    for log in (False, True):
+        for factor in (1.0, 1.2):
+            for _ in range(3):
+                assert len(TA.viterbi([({"a": 0.5, "b": 0.5}, "ll")] * 9, m, TA.Settings(factor=factor), log)) == 9
+    assert len(met) == len(set(met)) == 16
