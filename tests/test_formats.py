@@ -130,3 +130,46 @@ def test_tei_is_parsed_without_a_tree():
     assert rows == [("d", 0, 0, "x", "It", True, None, 1), ("d", 0, 1, "x-2", "b", False, None, 0), ("d", 0, 2, None, "c", True, "name", 0), ("d", 0, 3, None, "d", None, None, 0)]
     deep = "<TEI>" + "<p>" * 5000 + "<tok>a</tok>" + "</p>" * 5000 + "</TEI>"
     assert [r[6] for r in tei.parse("/x/f.xml", deep)] == ["a"] and tei.parse("/x/f.xml", "<a><tok>b</tok>") == []
+
+
+def test_plain_tei_is_scanned_as_it_is_parsed(spark, data):
+    """Whole documents at once give the rows of the parser; whatever is not plain is left to it."""
+    from tagloom.plans import corpus
+
+    docs = [r.value.encode() for r in corpus.tei_documents(corpus.read(spark, data, "documents")).collect()]
+    odd = '<TEI><text id="a&amp;b">\n<s id="s-1"><tok id="w" upos="--" msd="" pos="P" reg="&lt;&amp;lt;" head="12" deprel="_">é&gt;</tok> <tok id="w2"></tok><tok id="w3" lemma="--" nform="n"> </tok></s>\n<s id=""></s><s id="z"><tok id="q">x</tok> </s></text></TEI>'
+    docs = [d for d in docs if b">--<" not in d] + [odd.encode()]
+    for wanted in (None, ("doc_id", "tok_ord", "form", "space_after")):
+        starts = [sum(len(x) for x in docs[:i]) for i in range(len(docs))]
+        found, of = tei.scan(b"".join(docs), starts, wanted=wanted)
+        names = [c for c, _ in tei._COLUMNS if c in found]
+        want = [r for d in docs for r in tei.parse("f", d.decode())]
+        assert len(names) == (17 if wanted is None else 4) and len(of) == len(want) > 100
+        places = [[c for c, _ in tei._COLUMNS].index(c) for c in names]
+        assert list(zip(*(found[c].to_pylist() for c in names))) == [tuple(r[k] for k in places) for r in want]
+    # Others: forbidden, or allowed but not plain.
+    tok = lambda x: f'<TEI><text id="t"><s id="s">{x}</s></text></TEI>'
+    changed = [
+        "", "<TEI>", odd[:-1], odd + " ", odd.replace("é", "\x01"), odd.replace("é", "&eacute;"), odd.replace("é", "&#233;"), odd.replace("é", "￾"), odd.replace("é", "]]>"), odd.replace("é", "<hi>a</hi>"), odd.replace("é", "<!-- -->"), odd.replace("é", '"'), odd.replace("é", " "),
+        tok('<tok id="a" upos="x" upos="y">b</tok>'), tok('<tok id="a" other="x">b</tok>'), tok('<tok id="a"  upos="x">b</tok>'), tok("<tok id='a'>b</tok>"), tok('<tok id="a">--</tok>'), tok('<tok id="a">b</tok>,<tok id="c">d</tok>'), tok('<tok id="a"/>'), tok('<tok id="a" upos="<">b</tok>'),
+        tok('<tok id="a">b</tok></tok>'), tok('<tok id="a"><tok id="b">c</tok></tok>'), tok('<tok id="a" form="x">b</tok>'), tok('<tok id="a" head="x">b</tok>'), tok('<tok id="a">b</tok><tok id="a">b</tok>'), tok('<tok id="a" >b</tok>'), tok('<tok id="a">b</tok>').replace("<s ", "<p><s "),
+    ]
+    assert [x for x in changed if x and tei.scan(x.encode(), [0]) is not None] == []
+    files = spark.createDataFrame([(f"/x/{i}.xml", x) for i, x in enumerate([*changed, odd])], "file string, value string")
+    rows = sorted(map(repr, map(tuple, tei.read_tei(files).collect())))
+    assert rows == sorted(repr(r) for i, x in enumerate([*changed, odd]) for r in tei.parse(f"/x/{i}.xml", x)) and len(rows) > 10
+
+
+def test_teitok_queries_equal_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from tagloom.plans import load
+
+    odd = 'A b   c. «x» "q" <t> & \'s. É!', " \n", None, "", ".", "Ça va? 12 ½ a&amp;b ]]> 中文. . x", "  lead. trail  "
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").selectExpr("*", "'l' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("read_teitok_mapped", "read_teitok_native"):
+        got = load()[0][name](spark, str(tmp_path)).toDF(*[c for c in ("doc_id", "sent_ord", "tok_ord", "form", "upos", "xpos", "reg", "space_after")])
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, duck.execute(load()[1][name]).fetchall()))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
