@@ -212,3 +212,71 @@ def test_a_transition_is_weighed_once(monkeypatch):
             for _ in range(3):
                 assert len(TA.viterbi([({"a": 0.5, "b": 0.5}, "ll")] * 9, m, TA.Settings(factor=factor), log)) == 9
     assert len(met) == len(set(met)) == 16
+
+
+def test_settings_are_tried_together(spark, monkeypatch):
+    """Shares of right tags for many settings in one job are those of a tagger run for each, and nothing is shuffled for them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tagloom.operators import lexicon as L
+    from tagloom.operators import lookup as LU
+
+    rnd = random.Random(3)
+    words = ["the", "The", "cat", "cats", "catty", "sat", "Rome", "ROME", "run", "runs", ".", "--", "12", "é", "q"]
+    rows = [(d, s, i, rnd.choice(words) + rnd.choice(["", "", "ed", "xy"]) * (i % 3 == 1), rnd.choice(["D", "N", "N.D", "V", "P"])) for d in range(24) for s in range(3) for i in range(rnd.randint(1, 9))]
+    t = spark.createDataFrame(rows, "doc_id long, sent_ord int, tok_ord int, form string, tag string").withColumn("form", F.regexp_replace("form", "^--.+", "--")).cache()
+    # Pairs are few, so that arcs are missing and cells are not reached.
+    train, dev = t.filter("doc_id < 3"), t.filter("doc_id >= 3")
+    e = L.vocab_counts(train, ["form", "tag"]).cache()
+    ends, types = L.ending_index(e), L.type_counts(e)
+    m = TA.tag_model(L.transition_counts(train).filter("prev < 'P' AND next <> 'V'"), L.case_counts(train))
+    forms = dev.select("form").distinct()
+    tried = [{**TA.DEFAULTS, **x} for x in ({}, {"factor": 3.0}, {"smooth": 9.0}, {"endlen": 1, "endretry": 0}, {"endretry": 3, "ending_decay_base": 0.1}, {"epsilon": 0.5}, {"beam": 1, "threshold": 0.4})]
+    stored = TA.sentences(dev, LU.evidence(forms, e, ends)).cache()
+    prior = {r["tag"]: float(r["n_types"]) for r in types.collect()}
+    want = []
+    for s in tried:
+        cells = LU.candidate_lattice(forms, e, ends, types, s["endlen"], s["endretry"], s["ending_decay_base"])
+        tagged = TA.viterbi_tag(dev, cells, m, TA.Settings(**{k: v for k, v in s.items() if not k.startswith("end")}), carry=("tag",))
+        want.append(tagged.agg(F.avg((F.col("pred") == F.col("tag")).cast("int"))).first()[0])
+    assert TA.accuracies(stored, m, prior, tried) == want and len(set(want)) > 1
+    monkeypatch.setattr(TA, "TOGETHER", 20)
+    monkeypatch.setattr(TA, "DENSE_TAGS", 2)
+    assert TA.accuracies(stored, m, prior, tried) == want
+
+
+def test_sentences_are_tagged_together_as_one_by_one():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    tags = ["A", "A.B", "B", "C", "D"]
+    m = TA.TagModel({"A": {"B": 3, "A": 3}, "B": {"A": 1, "C": 3, "D": 2}, "C": {"A": 1}}, {"A": {"ll": 2, "UU": 1}, "C": {"Ul": 3}})
+    for s in (TA.Settings(), TA.Settings(factor=1.2, smooth=0.01), TA.Settings(epsilon=0.3, case_min=0.7)):
+        many = [[({t: rnd.choice([0.25, 0.5, 1e-12]) for t in rnd.sample(tags, rnd.randint(1, 4))}, rnd.choice(TA.CASES)) for _ in range(rnd.randint(1, 12))] for _ in range(400)]
+        flat, lengths = [c for x in many for c in x], np.array([len(x) for x in many])
+        tag, p = np.full((len(flat), 4), -1), np.zeros((len(flat), 4))
+        for i, (cell, _) in enumerate(flat):
+            for j, t in enumerate(sorted(cell)):
+                tag[i, j], p[i, j] = tags.index(t), cell[t]
+        at = TA.viterbi_together(np.cumsum(lengths) - lengths, lengths, tag, p, np.array([TA.CASES.index(c) for _, c in flat]), *TA.square(m, s, tags), s.epsilon)
+        assert [tags[k] for k in tag[np.arange(len(flat)), at]] == [t for x in many for t in TA.viterbi(x, m, s)]
+
+
+def test_a_setting_takes_one_job():
+    """``ahead`` gets all values of a setting before the first is asked for."""
+    jobs, known = [], set()
+
+    def ahead(tried):
+        jobs.append(len(tried))
+        known.update(map(str, tried))
+
+    def score(s):
+        assert str(s) in known
+        return -abs(s["a"] - 3) - abs(s["b"] - 2)
+
+    assert TA.finetune(score, {"a": 1, "b": 1}, {"a": [1, 2, 3], "b": [1, 2, 3]}, ahead=ahead) == ({"a": 3, "b": 2}, 0, 5) and jobs == [1, 2, 2]
+    assert TA.finetune(score, {"a": 1, "b": 1}, {"a": [1, 2, 3], "b": [1, 2, 3]}, most=2)[2] == 2
