@@ -32,6 +32,31 @@ def _gram(code: int) -> str:
     return "".join(chr(x) for x in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if x)
 
 
+def _slots(known: np.ndarray, bits: int = 18):
+    """A multiplier and a table that give the place of each of ``known`` (sorted numbers) without a search: no two share a
+    slot. None if there are too many for that."""
+    keys = known.astype(np.uint64)
+    if not 0 < len(keys) <= 1 << bits - 7:
+        return None
+    for m in range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + (400 << 33), (1 << 33) + 2):
+        at = keys * np.uint64(m) >> np.uint64(64 - bits)
+        if len(np.unique(at)) == len(keys):
+            table = np.zeros(1 << bits, np.int32)
+            table[at] = np.arange(len(keys))
+            return np.uint64(m), np.uint64(64 - bits), table
+    return None
+
+
+def _found(codes: np.ndarray, known: np.ndarray, slots) -> np.ndarray:
+    """How often each of ``known`` is in ``codes``; nothing is sorted."""
+    if slots is None:
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    else:
+        m, shift, table = slots
+        at = table[codes.view(np.uint64) * m >> shift]
+    return np.bincount(at[known[at] == codes], minlength=len(known))
+
+
 def trigram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, gram, n; a text that is null counts as one null trigram."""
 
@@ -91,6 +116,7 @@ def language_topk(docs: DataFrame, profile: DataFrame, text: str = "text", k: in
         weight = np.zeros((len(known), len(langs)))
         for i, j, p in share:
             weight[i, j] = p
+        slots = _slots(known)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 b = batch.slice(start, ROWS)
@@ -99,10 +125,9 @@ def language_topk(docs: DataFrame, profile: DataFrame, text: str = "text", k: in
                     t = t.as_py()
                     if t is None or not len(known):
                         continue
-                    codes = _codes(t)
-                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                    seen, n = np.unique(at[known[at] == codes], return_counts=True)
-                    part = n @ weight[seen]
+                    n = _found(_codes(t), known, slots)
+                    seen = np.flatnonzero(n)
+                    part = n[seen] @ weight[seen]
                     for j in np.flatnonzero(part):
                         ids.append(d)
                         found.append(langs[j])

@@ -22,3 +22,24 @@ def test_no_row_leaves_for_each_trigram(spark, data):
     """The plan explodes nothing: one row for each text and language is shuffled."""
     plan = load()[0]["language_topk"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_known_trigrams_are_found_without_a_sort(monkeypatch):
+    """By slots, or by a search where there are too many for slots: each counted as often as it is there."""
+    from collections import Counter
+
+    import numpy as np
+
+    from tagloom.operators import language as LA
+
+    text = " the cat sat on the mat, le chat 中文字 𐀀𐀁 assis " * 40
+    codes = LA._codes(text)
+    want = Counter(text[i : i + 3] for i in range(len(text) - 2))
+    for count in (1, 20):
+        known = np.unique(np.append(np.unique(codes)[::2][:count], LA._codes("zzz")))
+        slots = LA._slots(known)
+        assert slots is not None and LA._slots(np.arange(5000)) is None
+        monkeypatch.setattr(np, "unique", None)
+        for how in (slots, None):
+            assert LA._found(codes, known, how).tolist() == [want[LA._gram(k)] for k in known.tolist()]
+        monkeypatch.undo()
