@@ -280,3 +280,13 @@ def test_a_setting_takes_one_job():
 
     assert TA.finetune(score, {"a": 1, "b": 1}, {"a": [1, 2, 3], "b": [1, 2, 3]}, ahead=ahead) == ({"a": 3, "b": 2}, 0, 5) and jobs == [1, 2, 2]
     assert TA.finetune(score, {"a": 1, "b": 1}, {"a": [1, 2, 3], "b": [1, 2, 3]}, most=2)[2] == 2
+
+
+def test_transitions_of_the_pseudo_tags_need_no_neighbours_row(spark, data):
+    from tagloom.operators import lexicon as L
+    from tagloom.plans import corpus
+
+    want = sorted(map(tuple, L.transition_counts(corpus.gold(spark, data)).collect()))
+    got = corpus.gold_transitions(corpus.tokens(spark, data))
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
