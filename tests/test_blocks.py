@@ -48,7 +48,7 @@ def test_blocks_train_what_tokens_train(spark, odd, monkeypatch, size):
     want, m = TA.tag_model(L.transition_counts(train), L.case_counts(train)), BL.model(rows)
     assert (m.transitions, m.cases) == (want.transitions, want.cases)
     forms = BL.forms(rows)
-    assert sorted(map(tuple, BL.entries(forms).collect())) == sorted(map(tuple, L.vocab_counts(train, ["form", "tag"]).collect()))
+    assert sorted((r.form, BL.TAGS[r.tag], r.n) for r in BL.entries(BL.cells(forms)).collect()) == sorted(map(tuple, L.vocab_counts(train, ["form", "tag"]).collect()))
     assert forms.count() == corpus.tokens(spark, odd).select("form").distinct().count()
 
 
@@ -97,15 +97,20 @@ def test_blocks_are_tagged_as_one_by_one():
         assert [tags[k] if k >= 0 else None for k in best] == want
 
 
-def test_suffixes_that_are_left_out_weigh_nothing(spark):
+def test_evidence_in_the_row_weighs_as_the_lattice(spark):
+    from pyspark.sql import functions as F
+
     from tagloom.operators import lookup as LU
 
-    e = spark.createDataFrame([("running", "V", 3), ("sing", "N", 2), ("going", "V", 9), ("king", "N", 1)], "form string, tag string, n long")
-    forms = spark.createDataFrame([("ungoing",), ("king",), ("g",), ("xyz",)], "form string")
-    full, three = ({r.form: r.cell for r in LU.evidence(forms, e, L.ending_index(e), 6, most).collect()} for most in (None, 3))
+    names = ("N", "V")
+    e = spark.createDataFrame([("running", "V", 3), ("sing", "N", 2), ("going", "V", 9), ("going", "N", 1), ("king", "N", 1), ("Sing", "V", 2), ("KING", "V", 7)], "form string, tag string, n long")
+    forms = spark.createDataFrame([("ungoing",), ("g",), ("xyz",), ("SING",), ("kiNg",)], "form string").union(e.select("form")).distinct()
+    number = F.when(F.col("tag") == "N", 0).otherwise(1)
+    own = e.groupBy("form").agg(F.collect_list(F.struct(number.alias("tag"), F.col("n").cast("double").alias("w"))).alias("ts"), F.sum("n").alias("freq"))
+    own, ends = forms.join(own, "form", "left"), L.ending_index(e.withColumn("tag", number))
+    full, three = ({r.form: r.cell for r in LU.evidence_in_row(own, ends, 6, most).collect()} for most in (9, 3))
     want = {(r.form, r.tag): r.p for r in LU.candidate_lattice(forms, e, L.ending_index(e), e.groupBy("tag").agg(L.n("n_types"))).collect()}
-    assert len(three["ungoing"]) < len(full["ungoing"]) and three["king"] == full["king"]
-    names = sorted(three)
-    cell = pa.array([[x.asDict() for x in three[f]] for f in names], pa.list_(pa.struct([("size", pa.int32()), ("tag", pa.string()), ("w", pa.float64())])))
-    tags, tag, p = TA.weighed_cells(cell, TA.TagModel(), {"N": 2.0, "V": 2.0}, {"endlen": 6, "endretry": 2, "ending_decay_base": 2.0, "fallback": 1e-6})
-    assert {(f, tags[t]): w for i, f in enumerate(names) for t, w in zip(tag[:, i], p[:, i]) if t >= 0} == want
+    assert len(three["ungoing"]) < len(full["ungoing"]) and three["king"] == full["king"] == [0, 0, 1] and three["xyz"] == []
+    at = sorted(three)
+    tags, tag, p = TA.weighed_cells(pa.array([three[f] for f in at], pa.list_(pa.float64())), names, TA.TagModel(), {"N": 4.0, "V": 4.0}, {"endlen": 6, "endretry": 2, "ending_decay_base": 2.0, "fallback": 1e-6})
+    assert {(f, tags[t]): w for i, f in enumerate(at) for t, w in zip(tag[:, i], p[:, i]) if t >= 0} == pytest.approx(want, rel=1e-15)
